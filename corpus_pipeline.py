@@ -7,13 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import mixing, sharding
+from quirework.llm import mixing, quality_rules, sharding
 from quirework.llm.common import shared_folder, table
-from quirework.llm.queries import MIX_SEED, SHARD_BYTES, WEIGHTS
+from quirework.llm.queries import MIX_SEED, SHARD_BYTES, WEIGHTS, quality_field
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose share of content lines is high enough; rows are judged one by one, by their text."""
+    return quality_rules.filter_docs(docs, quality_field(spark, sf_dir))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights of their sources; the copies are repeated rows."""
     return mixing.mix(docs, WEIGHTS, seed=MIX_SEED, copy_col=None)
@@ -25,6 +30,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", keep_quality),
     ("mix_sources", mix_sources),
     ("shard", shard),
 ]

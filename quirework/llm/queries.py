@@ -6,25 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import mixing, sharding
+from quirework.llm import mixing, quality_rules, sharding
 from quirework.llm.common import table
 
 #: Target weights by source; sources that aren't named have weight 1.
 WEIGHTS = {"src0": 3.0, "src1": 2.0}
 MIX_SEED = 42
 SHARD_BYTES = 8 << 20
+#: Labelled documents that the field of op3 is fitted on, at most.
+FIELD_DOCS = 1500
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, seed=MIX_SEED)
 
 
+def quality_field(spark: SparkSession, sf_dir: str) -> quality_rules.Field:
+    return quality_rules.fit(*quality_rules.training(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), FIELD_DOCS))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.label_lines(table(spark, sf_dir, "documents"), quality_field(spark, sf_dir))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES, keep=["doc_id", "source", "n_chars"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_quality_rules": op3_quality_rules,
     "op8_shard": op8_shard,
 }
 

@@ -59,10 +59,14 @@ def segments(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def words(texts: pa.Array, bounds: bool = False) -> tuple[np.ndarray, ...]:
-    """Hashes of all words, and for each row the place of its first word (n + 1 offsets); with ``bounds``, bytes too."""
-    data, off = buffers(texts)
-    hashes, firsts, lasts = [], [], []
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and for each row the place of its first word (n + 1 offsets)."""
+    return split_words(*buffers(texts))
+
+
+def split_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``words`` of bytes and row offsets."""
+    hashes, firsts = [], []
     for a, b in segments(data, off):
         x = data[a:b]
         n = len(x)
@@ -79,11 +83,9 @@ def words(texts: pa.Array, bounds: bool = False) -> tuple[np.ndarray, ...]:
         np.cumsum((x.astype(U) + U(1)) * p[:n], out=c[1:])
         hashes.append(mix((c[e] - c[s]) * q[s] + (e - s).astype(U) * U(0x9FB21C651E98DF25)))
         firsts.append(s + a)
-        lasts.append(e + a)
     h = np.concatenate(hashes) if hashes else np.zeros(0, U)
     s = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
-    at = np.searchsorted(s, off)
-    return (h, at, s - 0, np.concatenate(lasts) if lasts else s) if bounds else (h, at)
+    return h, np.searchsorted(s, off)
 
 
 def ngrams(h: np.ndarray, at: np.ndarray, n: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
