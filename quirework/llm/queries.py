@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import mixing, quality_rules, sharding
+from quirework.llm import mixing, quality_rules, sharding, winnowing
 from quirework.llm.common import table
 
 #: Target weights by source; sources that aren't named have weight 1.
@@ -33,10 +33,15 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES, keep=["doc_id", "source", "n_chars"])
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.shared_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_quality_rules": op3_quality_rules,
     "op8_shard": op8_shard,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
@@ -59,5 +64,27 @@ with d as (
   from documents join rates on documents.source is not distinct from rates.source
 )
 select doc_id, text, lang, source, n_chars, unnest(range(1, copies + 1))::int as copy_no from n where copies > 0
+""",
+    "op9_decontaminate": """
+with d as (
+  select distinct doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')) as t from documents
+), b as (
+  select distinct item_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')) as t from benchmark
+), dw as (
+  select doc_id, string_split(t, ' ') as ws from d where t <> ''
+), bw as (
+  select item_id, string_split(t, ' ') as ws from b where t <> ''
+), dg as (
+  select doc_id, p, array_to_string(list_slice(ws, p + 1, p + 12), ' ') as g
+  from (select doc_id, ws, unnest(range(0, len(ws) - 11)) as p from dw)
+), bg as (
+  select item_id, p as q, array_to_string(list_slice(ws, p + 1, p + 12), ' ') as g
+  from (select item_id, ws, unnest(range(0, len(ws) - 11)) as p from bw)
+), hits as (
+  select doc_id, item_id, p, q, p - row_number() over (partition by doc_id, item_id, p - q order by p) as island
+  from dg join bg using (g)
+)
+select doc_id, item_id, min(p)::int as doc_start, min(q)::int as item_start, (count(*) + 11)::int as n_words
+from hits group by doc_id, item_id, p - q, island
 """,
 }
