@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import mixing, quality_rules, sharding, winnowing
+from quirework.llm import jaccard_join, mixing, quality_rules, sharding, winnowing
 from quirework.llm.common import shared_folder, table
 from quirework.llm.queries import MIX_SEED, SHARD_BYTES, WEIGHTS, quality_field
 
@@ -19,6 +19,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.filter_docs(docs, quality_field(spark, sf_dir))
 
 
+def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard_join.keep_one(docs)
+
+
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that share no passage with the benchmark."""
     return winnowing.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -36,6 +41,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", keep_quality),
+    ("jaccard_join", keep_one_of_copies),
     ("decontaminate", drop_benchmark),
     ("mix_sources", mix_sources),
     ("shard", shard),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import mixing, quality_rules, sharding, winnowing
+from quirework.llm import jaccard_join, mixing, quality_rules, sharding, winnowing
 from quirework.llm.common import table
 
 #: Target weights by source; sources that aren't named have weight 1.
@@ -29,6 +29,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.label_lines(table(spark, sf_dir, "documents"), quality_field(spark, sf_dir))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES, keep=["doc_id", "source", "n_chars"])
 
@@ -40,6 +44,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_quality_rules": op3_quality_rules,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_shard": op8_shard,
     "op9_decontaminate": op9_decontaminate,
 }
@@ -86,5 +91,23 @@ with d as (
 )
 select doc_id, item_id, min(p)::int as doc_start, min(q)::int as item_start, (count(*) + 11)::int as n_words
 from hits group by doc_id, item_id, p - q, island
+""",
+    "op6_jaccard_join": """
+with d as (
+  select doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')) as t from documents where doc_id is not null
+), w as (
+  select doc_id, string_split(t, ' ') as ws from d where t <> ''
+), g as (
+  select distinct doc_id, case when len(ws) = 1 then ws[1] else ws[i] || ' ' || ws[i + 1] end as gram
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1) + 1)) as i from w)
+), n as (
+  select doc_id, count(*) as size from g group by doc_id
+), both as (
+  select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as inter
+  from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by all
+)
+select doc_a, doc_b, round(inter / (x.size + y.size - inter)::double, 6) as jaccard
+from both join n x on x.doc_id = doc_a join n y on y.doc_id = doc_b
+where inter / (x.size + y.size - inter)::double >= 0.55 - 1e-12
 """,
 }
