@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import jaccard_join, mixing, quality_rules, sharding, winnowing
+from quirework.llm import jaccard_join, language, mixing, quality_classifier, quality_rules, sharding, winnowing
 from quirework.llm.common import table
 
 #: Target weights by source; sources that aren't named have weight 1.
 WEIGHTS = {"src0": 3.0, "src1": 2.0}
 MIX_SEED = 42
 SHARD_BYTES = 8 << 20
+#: Documents with a language that the kernel of op2 is fitted on, and landmarks among them, at most.
+LANGUAGE_DOCS, LANDMARKS = 1000, 128
+#: Labelled documents that the support vectors of op7 are fitted on, at most.
+CLASSIFIER_DOCS = 3000
 #: Labelled documents that the field of op3 is fitted on, at most.
 FIELD_DOCS = 1500
 
@@ -21,6 +25,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, seed=MIX_SEED)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.Kernel(*language.training(docs, LANGUAGE_DOCS), landmarks=LANDMARKS))
+
+
 def quality_field(spark: SparkSession, sf_dir: str) -> quality_rules.Field:
     return quality_rules.fit(*quality_rules.training(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), FIELD_DOCS))
 
@@ -33,6 +42,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, *quality_classifier.fit_both(quality_classifier.training(docs, table(spark, sf_dir, "labels"), CLASSIFIER_DOCS)))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES, keep=["doc_id", "source", "n_chars"])
 
@@ -43,8 +57,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_language": op2_language,
     "op3_quality_rules": op3_quality_rules,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_shard": op8_shard,
     "op9_decontaminate": op9_decontaminate,
 }
@@ -102,12 +118,12 @@ with d as (
   from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1) + 1)) as i from w)
 ), n as (
   select doc_id, count(*) as size from g group by doc_id
-), both as (
+), shared as (
   select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as inter
   from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by all
 )
 select doc_a, doc_b, round(inter / (x.size + y.size - inter)::double, 6) as jaccard
-from both join n x on x.doc_id = doc_a join n y on y.doc_id = doc_b
+from shared join n x on x.doc_id = doc_a join n y on y.doc_id = doc_b
 where inter / (x.size + y.size - inter)::double >= 0.55 - 1e-12
 """,
 }
