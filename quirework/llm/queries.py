@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import html, jaccard_join, language, mixing, quality_classifier, quality_rules, sharding, winnowing
+from quirework.llm import html, jaccard_join, language, mixing, quality_classifier, quality_rules, secrets, sharding, winnowing
 from quirework.llm.common import table
 
 #: Target weights by source; sources that aren't named have weight 1.
@@ -42,6 +42,10 @@ def op4_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_docs(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_quality_rules": op3_quality_rules,
     "op4_extract_html": op4_extract_html,
+    "op5_secrets": op5_secrets,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_shard": op8_shard,
