@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import html, jaccard_join, language, mixing, quality_classifier, quality_rules, secrets, sharding, winnowing
+from quirework.llm import html, jaccard_join, language, mixing, quality_classifier, quality_rules, secrets, sharding, substrings, winnowing
 from quirework.llm.common import table
 
 #: Target weights by source; sources that aren't named have weight 1.
@@ -63,6 +63,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.shared_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language": op2_language,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_shard": op8_shard,
     "op9_decontaminate": op9_decontaminate,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
