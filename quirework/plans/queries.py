@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quirework.functions import markdown as M
 from quirework.functions import relations as R
 from quirework.functions import text as T
+from quirework.functions.providers import OfflineProvider
 from quirework.functions.vocab import CANONICAL_OF
 from quirework.operators import compile as C
 from quirework.operators import evaluate as E
@@ -430,3 +433,42 @@ def title_match(spark: SparkSession, d: str) -> DataFrame:
     names = p.select(F.col("p_brand").alias("source"), F.col("p_name").alias("section")).distinct()
     titles = p.select(F.col("p_brand").alias("source"), F.col("p_type").alias("title")).distinct().union(p.filter("p_partkey % 2 = 0").select("p_brand", F.concat(F.upper("p_name"), F.lit("."))).distinct())
     return E.match_titles(names, titles)
+
+
+# Text for display, and whole answers
+
+
+@query()
+def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("| a | b |\n| "), F.left("text", F.lit(20)), F.lit(" | 1 |\nso \\(x\\) is\n\\[ y = "), F.col("doc_id").cast("string"), F.lit(" \\]\n"))
+    rows = t(spark, d, "documents").select("doc_id", F.posexplode(M.display_blocks_column(F.regexp_replace(text, "\n\n", " "))).alias("block_no", "b"))
+    return rows.select("doc_id", "block_no", "b.kind", "b.body")
+
+
+@query("""
+select 'src' || (doc_id % 3) as source, '[' || source || ' — ' || doc_id || case when n_chars % 3 = 0 then '' when n_chars % 3 = 1 then ', p.4' else ', p.4–5' end || ']' as label from documents
+""")
+def source_labels(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_chars") % 3
+    x = t(spark, d, "documents")
+    pages = F.when(k > 0, 4), F.when(k == 1, 4).when(k == 2, 5).otherwise(7)
+    return x.select(F.concat(F.lit("src"), (F.col("doc_id") % 3).cast("string")).alias("source"), T.source_label(F.col("source"), F.col("doc_id").cast("string"), *pages).alias("label"))
+
+
+@query("""
+with h as (select doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('doc' || doc_id)) as h from documents)
+select doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::int % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as id from h
+""")
+def point_ids(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", T.uuid5(F.concat(F.lit("doc"), F.col("doc_id").cast("string"))).alias("id"))
+
+
+@query()
+def ask_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Answers, from documents as sections, to the first lines of the benchmark, with the offline provider."""
+    provider = OfflineProvider()
+    embed = F.pandas_udf(lambda s: pd.Series(list(provider.embed(s.tolist()))), "array<float>")
+    x = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("parent_id"), "source", F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("section"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.col("text").alias("page_content"), F.array(F.concat(F.lit("S"), (F.col("doc_id") % 50).cast("string"))).alias("anchor_nodes"))
+    questions = x.select(F.col("parent_id").alias("id"), "parent_id", F.left("page_content", F.lit(120)).alias("question"), F.lit("").alias("key_knowledge"), "source", embed("page_content").alias("vector"))
+    queries = t(spark, d, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), embed("text").alias("vector"), F.lit("").alias("target_file"))
+    return V.ask(queries, questions, x, *_graph(spark, d), provider)
