@@ -19,11 +19,15 @@ def is_well_formed(c: Column) -> Column:
 
 
 def normalize_relation(c: Column) -> Column:
-    """The canonical name, a well-formed other one as it is, or '' for what can't be a name."""
+    """The canonical name, a well-formed other one as it is, or '' for what can't be a name.
+
+    Names in the vocabulary are looked up at once; only others are cleaned and tested.
+    """
+    known = F.create_map(*[F.lit(x) for pair in [*vocab.CANONICAL_OF.items(), *((n, n) for n in vocab.CANONICAL)] for x in pair])
     raw = F.regexp_replace(F.regexp_replace(F.upper(strip(F.coalesce(c, F.lit("")))), "[ -]", "_"), "_+", "_")
     raw = F.regexp_replace(raw, r"^_|_\z", "")
-    names = F.create_map(*[F.lit(x) for pair in vocab.CANONICAL_OF.items() for x in pair])
-    return F.when(is_well_formed(raw), F.coalesce(names[raw], raw)).otherwise("")
+    slow = F.transform(F.array(raw), lambda r: F.when(is_well_formed(r), F.coalesce(F.try_element_at(known, r), r)).otherwise(""))
+    return F.coalesce(F.try_element_at(known, F.translate(F.upper(c), " -", "__")), slow[0])
 
 
 def _tokens(phrase: Column) -> Column:
@@ -111,11 +115,12 @@ def local_pairs(text: Column) -> Column:
 
     A wording is tried only on texts that have one of its relation's trigger words.
     """
-    found = []
     none = F.array().cast("array<struct<priority:int,relation:string,source:string,target:string>>")
+    by_relation: dict[str, list[Column]] = {}
     for i, (relation, wording) in enumerate(vocab.WORDINGS):
         pattern = F.lit("(?iu)" + vocab.fill(wording, vocab.NOUN, vocab.NOUN, long_source=vocab.LONG_NOUN))
         s, t = (1, 2) if vocab.source_first(wording) else (2, 1)
         pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(s)).alias("s"), F.regexp_extract_all(text, pattern, F.lit(t)).alias("t"))
-        found.append(F.when(text.rlike(r"(?iu)\b(?:" + vocab.TRIGGERS[relation] + ")"), F.transform(pairs, _named(i, relation))).otherwise(none))
-    return F.concat(*found)
+        by_relation.setdefault(relation, []).append(F.transform(pairs, _named(i, relation)))
+    found = [F.when(text.rlike(rf"(?i)\b(?:{vocab.TRIGGERS[r]})"), F.concat(*columns)).otherwise(none) for r, columns in by_relation.items()]
+    return F.when(text.rlike(r"(?i)\b(?:" + "|".join(vocab.TRIGGERS.values()) + ")"), F.concat(*found)).otherwise(none)
