@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,7 +48,10 @@ def is_concept_endpoint(c: Column) -> Column:
 
 def is_feature(c: Column) -> Column:
     """Whether it can be had: its last word is a component; not a number, an amount or an idiom."""
-    p = normalized_phrase(c)
+    return _feature_phrase(normalized_phrase(c))
+
+
+def _feature_phrase(p: Column) -> Column:
     amount = F.replace(p, F.lit(" "), F.lit("")).rlike(r"(?i)^(?:[\d.,]+(?:k|m|b|%|percent)?|[$€£¥][\d.,]+|[\d.,]+[$€£¥])\z")
     first, last = F.element_at(_tokens(p), 1), F.element_at(_tokens(p), -1)
     return ~amount & ~first.isin("little", "seen", "advantage") & last.isin(*vocab.FEATURES)
@@ -57,7 +59,11 @@ def is_feature(c: Column) -> Column:
 
 def is_result(c: Column) -> Column:
     """Whether it can be achieved: one of its words is a result, and it isn't a point."""
-    words = _tokens(normalized_phrase(c))
+    return _result_phrase(normalized_phrase(c))
+
+
+def _result_phrase(p: Column) -> Column:
+    words = _tokens(p)
     return F.arrays_overlap(words, F.array(*[F.lit(x) for x in vocab.RESULTS])) & (F.element_at(words, -1) != "point")
 
 
@@ -67,8 +73,8 @@ def is_grounded(name: Column, normalized_text: Column) -> Column:
     return (p != "") & F.contains(F.concat(F.lit(" "), normalized_text, F.lit(" ")), F.concat(F.lit(" "), p, F.lit(" ")))
 
 
-def _term(c: Column) -> Column:
-    return F.concat(F.lit(r"(?<!\w)(?:an? |the )?"), normalized_phrase(c), F.lit(r"(?!\w)"))
+def _term(phrase: Column) -> Column:
+    return F.concat(F.lit(r"(?<!\w)(?:an? |the )?"), phrase, F.lit(r"(?!\w)"))
 
 
 def _pattern(wording: str, source: Column, target: Column) -> list[Column]:
@@ -91,19 +97,28 @@ def quote_supports(quote: Column, source: Column, relation: Column, target: Colu
     """Whether the quote states the relation between the two, in one of its wordings; false whenever in doubt.
 
     Sentence signs become a word of their own, so no wording reaches across them. Wordings are tried only where both
-    names stand in the quote, for patterns of columns are compiled for each row.
+    names stand in the quote, for patterns of columns are compiled for each row. Names, relation and text are made once
+    and bound, which keeps the plan small.
     """
-    rel = normalize_relation(relation)
     text = normalized_phrase(F.regexp_replace(quote, "[.!?;:]+", " relationboundary "))
-    s, t = _term(source), _term(target)
-    first = F.element_at(_tokens(normalized_phrase(target)), 1)
-    limits = (~rel.isin("HAS_FEATURE") | is_feature(target)) & (~rel.isin("ACHIEVES") | is_result(target)) & (~rel.isin("REQUIRES") | ~first.isin("less", "more", "that"))
-    tests = [(rel == r) & F.regexp_like(text, _any([w for q, w in vocab.WORDINGS if q == r], s, t, both_ways=r == "RELATES_TO")) for r in vocab.CANONICAL]
+    given = F.struct(text.alias("text"), normalized_phrase(source).alias("s"), normalize_relation(relation).alias("rel"), normalized_phrase(target).alias("t"))
+    return F.coalesce(F.transform(F.array(given), _states)[0], F.lit(False))
+
+
+def _states(x: Column) -> Column:
+    text, rel = x["text"], x["rel"]
+    s, t = _term(x["s"]), _term(x["t"])
+    first = F.element_at(_tokens(x["t"]), 1)
+    limits = ((rel != "HAS_FEATURE") | _feature_phrase(x["t"])) & ((rel != "ACHIEVES") | _result_phrase(x["t"])) & ((rel != "REQUIRES") | ~first.isin("less", "more", "that"))
+    pattern = F.lit(None).cast("string")
+    for r in vocab.CANONICAL:
+        pattern = F.when(rel == r, _any([w for q, w in vocab.WORDINGS if q == r], s, t, both_ways=r == "RELATES_TO")).otherwise(pattern)
     words = F.filter(F.split(F.lower(rel), "_"), lambda w: w != "")
     middle = F.concat(F.lit(r"\s+(?:(?:is|are|was|were)\s+)?(?:"), F.array_join(words, r"\s+"), F.lit("|"), F.array_join(words, ""), F.lit(r")\s+(?:(?:by|with|from|on|to)\s+)?"))
-    novel = ~rel.isin(*vocab.CANONICAL) & (F.regexp_like(text, F.concat(F.lit("(?U)"), s, middle, t)) | F.regexp_like(text, F.concat(F.lit("(?U)"), t, middle, s)))
-    stated = is_grounded(source, text) & is_grounded(target, text) & reduce(lambda a, b: a | b, [*tests, novel])
-    return F.coalesce((rel != "") & is_concept_endpoint(source) & is_concept_endpoint(target) & limits & stated, F.lit(False))
+    novel = F.concat(F.lit("(?U)(?:"), s, middle, t, F.lit("|"), t, middle, s, F.lit(")"))
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    there = [F.contains(padded, F.concat(F.lit(" "), x[c], F.lit(" "))) for c in ("s", "t")]
+    return (rel != "") & endpoint_phrase_ok(x["s"]) & endpoint_phrase_ok(x["t"]) & limits & there[0] & there[1] & F.regexp_like(text, F.coalesce(pattern, novel))
 
 
 def _named(priority: int, relation: str) -> Callable[[Column], Column]:
