@@ -24,7 +24,9 @@ LEAST = 0.5
 NAME = r"""(?:[A-Za-z_$@][\w$@]*(?:(?:\.|->|::|-)[A-Za-z_$@][\w$@]*)*(?:\[\s*(?:"[^"\n]{1,200}"|'[^'\n]{1,200}'|\w{1,200})\s*\])*|"[^"\n=:]{1,200}"|'[^'\n=:]{1,200}')"""
 STRING = r'''(?:[rRbBuUfF@]{0,2}(?:"""(?:[^\\]|\\.){0,20000}?"""|\'\'\'(?:[^\\]|\\.){0,20000}?\'\'\'|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`))'''
 #: A name, perhaps its type, and a sign of assignment that isn't a comparison.
-TARGET = re.compile(rf"(?<![\w$@.\-])({NAME})\s{{0,20}}(?::\s{{0,5}}[A-Za-z_][\w.\[\]<>, ]{{0,60}}?\s{{0,5}}(?==[^=]))?(:=|=>|(?<![=!<>])=(?!=)|:(?![:/=\\]))[ \t]{{0,20}}(?=\S)")
+TARGET = re.compile(rf"(?<![\w$@.\-])({NAME})\s{{0,20}}(?::\s{{0,5}}([A-Za-z_][\w.\[\]<>, ]{{0,60}}?)\s{{0,5}}(?==[^=]))?(:=|=>|(?<![=!<>])=(?!=)|:(?![:/=\\]))[ \t]{{0,20}}(?=\S)")
+#: The name that ends what was read as a type, if it was none: "Note: the token = ".
+LAST = re.compile(r"[A-Za-z_][\w.]*(?:\[\w*\])*$")
 PART = re.compile(rf"\s*(?:({STRING})|(\$?\{{?[A-Za-z_][\w.]*\}}?(?![\w(])))\s*", re.DOTALL)
 #: A value without quotes ends at white space or at a sign that closes what it is in.
 BARE = re.compile(r"[^\s\"'`,;<>{}()\[\]|#]+")
@@ -85,7 +87,10 @@ def assignments(text: str) -> Iterator[tuple[str, str, int, int]]:
 
     at = 0
     while m := TARGET.search(text, at):
-        name, sign, start = m[1].strip("\"'"), m[2], m.end()
+        name, sign, start = m[1].strip("\"'"), m[3], m.end()
+        # both readings: a name and its type, or a heading and a name
+        other = q[0] if m[2] and (q := LAST.search(m[2])) else name
+        name, other = (other, name) if heat(other) > heat(name) == 0 else (name, other)
         parts, end, p = [], start, start
         while q := PART.match(text, p):
             if q[1]:
@@ -106,7 +111,8 @@ def assignments(text: str) -> Iterator[tuple[str, str, int, int]]:
         if parts:
             value = "".join(parts)
             yield name, value, start, end
-            known[name.rpartition(".")[2]] = known[name] = value
+            for x in (other, name):
+                known[x.rpartition(".")[2]] = known[x] = value
 
 
 def scan(text: str, least: float = LEAST) -> list[tuple[str, int, int, str, float]]:

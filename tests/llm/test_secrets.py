@@ -26,6 +26,15 @@ def test_planted_assignments_come_back(form):
             assert v in text[found[0][1] : found[0][2]]
 
 
+@pytest.mark.parametrize("text", ["Note: the {n} = \"{v}\"", "INFO: {n}={v}", "Settings:\n{n}={v}", "config:\n {n} = \"{v}\"", "a line\nINFO: app.{n}={v}\n"])
+@pytest.mark.parametrize("name", ["token", "api_key", "DB_PASSWORD", "password"])
+def test_headings_before_assignments_are_no_names(text, name):
+    v = "04dbA8ecf7c5b09fe5949719"
+    assert [(x[0].removeprefix("app."), x[3]) for x in scan(text.format(n=name, v=v))] == [(name, v)]
+    assert [x[0] for x in scan(f"{name}: unsigned long = '{v}'")] == [name] and [x[0] for x in scan(f"{name}: Dict[str, str] = '{v}'")] == [name]
+    assert [x[3] for x in scan(f"INFO: part={v}\n{name} = part")] == [v]
+
+
 def test_constants_are_propagated():
     text = "p = 'AKIA'\nq = \"J7Q2X9ZKLM4N5P6R\"\nmid = p + q\nsecret_key = mid\nurl = f'db://u:{secret_key}@h'\npassword: ${q}\ntoken = \"%(mid)s-1\"\npwd = '$p' . q\n"
     got = {n: v for n, v, _, _ in assignments(text)}
