@@ -1,14 +1,18 @@
 """Words and n-grams of whole Arrow batches as 64-bit hashes, in NumPy: no loop over words, none over documents.
 
-Texts come in the form of ``common.plain``: words with single spaces between.
+A word is a run of letters, marks and digits in lower case, as in ``common.plain``.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 BASE, INV = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -59,13 +63,45 @@ def segments(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
+@lru_cache(maxsize=1)
+def _in_words() -> np.ndarray:
+    """For each code point, whether it is a letter, a mark or a digit."""
+    return np.fromiter((unicodedata.category(chr(i))[0] in "LMN" for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``buffers`` of the texts in lower case, with a space for every byte that isn't part of a word."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    try:
+        texts = pc.utf8_lower(texts)
+    except pa.ArrowInvalid:  # bytes that are no text
+        texts = pa.array([None if t is None else t.decode("utf-8", "replace").lower() for t in texts.cast(pa.binary()).to_pylist()], pa.large_string())
+    data, off = buffers(texts)
+    lo, hi = int(off[0]), int(off[-1])
+    data, off, inside = data[lo:hi].copy(), off - lo, _in_words()
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        size = 2 + (data[lead] >= 0xE0).astype(np.int64) + (data[lead] >= 0xF0)
+        point = data[lead].astype(np.int64) & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+        for i in range(1, 4):
+            more = size > i
+            point[more] = point[more] << 6 | data[lead[more] + i] & 0x3F
+        out = ~inside[np.minimum(point, sys.maxunicode)]
+        for i in range(4):
+            data[lead[out & (size > i)] + i] = 32
+    ascii_ = np.arange(256, dtype=np.uint8)
+    ascii_[:128][~inside[:128]] = 32
+    return ascii_[data], off
+
+
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and for each row the place of its first word (n + 1 offsets)."""
-    return split_words(*buffers(texts))
+    """Hashes of all words of the texts, and for each row the place of its first word (n + 1 offsets)."""
+    return split_words(*folded(texts))
 
 
 def split_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``words`` of bytes and row offsets."""
+    """``words`` of bytes, with spaces between words, and row offsets."""
     hashes, firsts = [], []
     for a, b in segments(data, off):
         x = data[a:b]
