@@ -71,6 +71,20 @@ def fingerprints(h: np.ndarray, at: np.ndarray, k: int, w: int) -> tuple[np.ndar
     return g[place], row, place - o[row]
 
 
+def gaps(f: np.ndarray, row: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """How many words before each fingerprint its row has the same one, if at most k, else 0.
+
+    If both sides of an anchor have the same one as many words before, there is an anchor there too, and the words up to
+    here are equal: the one before is enough. So a word or a phrase that goes on and on makes few anchors.
+    """
+    order = np.lexsort((place, f, row))
+    ahead = np.diff(place[order])
+    near = (ahead <= k) & (f[order][1:] == f[order][:-1]) & (row[order][1:] == row[order][:-1])
+    out = np.zeros(len(f), np.int32)
+    out[order[1:]] = np.where(near, ahead, 0)
+    return out
+
+
 class Index:
     """The fingerprints of a benchmark, sorted, with the words of its items."""
 
@@ -78,23 +92,38 @@ class Index:
         self.k, self.w, self.ids = k, w, ids
         self.h, self.at = words(pa.array(texts, pa.string()))
         f, row, place = fingerprints(self.h, self.at, k, w)
-        order = np.argsort(f, kind="stable")
-        self.f, self.row, self.place = f[order], row[order], place[order]
+        gap = gaps(f, row, place, k)
+        order = np.lexsort((gap, f))
+        self.row, self.place, self.gap = row[order], place[order], gap[order]
+        # where each fingerprint begins and ends, and each fingerprint with a gap
+        self.f, self.start = np.unique(f[order], return_index=True)
+        self.end = np.append(self.start[1:], len(f))
+        self.code = np.repeat(np.arange(len(self.f)), self.end - self.start) * (k + 1) + self.gap
+
+    def anchors(self, f: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j): fingerprints of a text and of the index that are equal, less those that follow from one before."""
+        at = np.searchsorted(self.f, f)
+        i = np.flatnonzero(self.f[np.minimum(at, len(self.f) - 1)] == f) if len(self.f) else np.zeros(0, np.int64)
+        code = at[i] * (self.k + 1) + gap[i]
+        lo, hi = (np.where(gap[i] > 0, np.searchsorted(self.code, code, side), self.end[at[i]]) for side in ("left", "right"))
+        out = []
+        for a, b in ((self.start[at[i]], lo), (hi, self.end[at[i]])):
+            n = b - a
+            out.append((np.repeat(i, n), np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())))
+        return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
     def spans(self, texts: pa.Array, least: int) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, place in the text, place in the item, words) of every shared span, over whole texts."""
         h, at = words(texts)
         f, row, place = fingerprints(h, at, self.k, self.w)
-        lo = np.searchsorted(self.f, f, "left")
-        hit = np.flatnonzero(self.f[np.minimum(lo, max(len(self.f) - 1, 0))] == f) if len(self.f) else []
-        by: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for i in hit:
-            j = int(lo[i])
-            while j < len(self.f) and self.f[j] == f[i]:
-                by.setdefault((int(row[i]), int(self.row[j])), []).append((int(place[i]), int(self.place[j])))
-                j += 1
-        for (r, q), anchors in sorted(by.items()):
-            for p, s, n in extend(h[at[r] : at[r + 1]], self.h[self.at[q] : self.at[q + 1]], np.array(anchors), least):
+        i, j = self.anchors(f, gaps(f, row, place, self.k))
+        order = np.lexsort((self.row[j], row[i]))
+        i, j = i[order], j[order]
+        cut = np.flatnonzero((np.diff(row[i]) != 0) | (np.diff(self.row[j]) != 0)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(i)], strict=True) if len(i) else ():
+            r, q = int(row[i[a]]), int(self.row[j[a]])
+            anchors = np.column_stack([place[i[a:b]], self.place[j[a:b]]])
+            for p, s, n in extend(h[at[r] : at[r + 1]], self.h[self.at[q] : self.at[q + 1]], anchors, least):
                 yield r, self.ids[q], p, s, n
 
 
@@ -121,11 +150,11 @@ def _joined(docs: DataFrame, items: DataFrame, k: int, w: int, least: int) -> Da
             for i in range(0, b.num_rows, ROWS):
                 part = b.slice(i, ROWS)
                 f, row, place = fingerprints(*words(part.column(1)), k, w)
-                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(place, pa.int32())], ["f", "id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(place, pa.int32()), pa.array(gaps(f, row, place, k))], ["f", "id", "place", "gap"])
 
-    left = texts.mapInArrow(emit, "f long, id binary, place int")
-    right = items.select("item_id", "text").mapInArrow(emit, "f long, id long, place int").select("f", F.col("id").alias("item_id"), F.col("place").alias("at_item"))
-    pairs = left.join(right, "f").groupBy("id", "item_id").agg(F.collect_list(F.struct("place", "at_item")).alias("anchors"))
+    left = texts.mapInArrow(emit, "f long, id binary, place int, gap int")
+    right = items.select("item_id", "text").mapInArrow(emit, "f long, id long, place int, gap int").select("f", F.col("id").alias("item_id"), F.col("place").alias("at_item"), F.col("gap").alias("item_gap"))
+    pairs = left.join(right, "f").filter("gap = 0 or gap <> item_gap").groupBy("id", "item_id").agg(F.collect_list(F.struct("place", "at_item")).alias("anchors"))
     full = pairs.join(texts, pairs["id"] == texts["key"]).drop("key").join(items.withColumnRenamed("text", "item"), "item_id")
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +195,7 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W,
                 cols = list(zip(*shared.value.spans(part.column(1), least), strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True))], ["doc_id", "item_id", "doc_start", "item_start", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text")).filter("doc_id is not null").mapInArrow(one, SPANS).distinct()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text <> ''").mapInArrow(one, SPANS).distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W, index_words: int = 5_000_000) -> DataFrame:
@@ -192,4 +221,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W,
                 kept = part.filter(pa.array(keep))
                 yield kept.select(kept.schema.names[:-1]) if len(set(kept.schema.names)) == kept.num_columns else pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
 
-    return docs.withColumn(name, plain(F.col("text"))).mapInArrow(one, docs.schema)
+    return docs.withColumn(name, F.col("text").cast("string")).mapInArrow(one, docs.schema)

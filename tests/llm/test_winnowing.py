@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
@@ -75,3 +77,22 @@ def test_hard_rows(spark):
         assert shared_spans(nothing, b, index_words=m).collect() == [] and decontaminate(nothing, b, index_words=m).collect() == []
     assert shared_spans(d, spark.createDataFrame([], ITEMS)).collect() == []
     assert decontaminate(d, spark.createDataFrame([], ITEMS)).count() == 12
+
+
+def test_a_phrase_that_goes_on_and_on(spark):
+    for phrase in (["w"], ["a", "b"], ["a", "b", "a"], [f"x{i}" for i in range(9)]):
+        doc, item = (phrase * 300)[:257], (phrase * 90)[:71]
+        index = Index([0], [" ".join(item)], 8, 5)
+        got = [x[2:] for x in index.spans(pa.array([" ".join(doc)]), 12)]
+        assert len(got) == len(set(got)) and set(got) == longest_runs(doc, item, 12)
+        d, b = docs(spark, [" ".join(doc)]), spark.createDataFrame([(0, " ".join(item))], ITEMS)
+        if len(phrase) < 3:
+            assert {tuple(x)[2:] for x in shared_spans(d, b, index_words=0).collect()} == set(got)
+
+
+def test_time_on_a_megabyte_of_one_word():
+    index = Index([0, 1], ["word " * 400, "on and " * 300], 8, 5)
+    for text in ("word " * 200_000, "on and " * 150_000):
+        began = time.time()
+        assert sum(1 for _ in index.spans(pa.array([text]), 12)) > 100_000
+        assert time.time() - began < 10
