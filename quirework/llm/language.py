@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST, MOST = 1, 3
-#: Characters told apart, those most frequent in the landmarks; all others are one. 48^3 presence bits a text.
-LETTERS = 48
+#: An n-gram, of whatever characters, is one of 2^BITS places by its hash.
+BITS = 17
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 BATCH = 64
 SCHEMA = "doc_id long, lang string, score double, margin double"
 
@@ -27,28 +28,21 @@ def letters(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " "))
 
 
-def symbols(texts: list[str], lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of the characters of all texts, each text between two spaces (0), and the offsets."""
+def presence(texts: list[str], least: int, most: int) -> np.ndarray:
+    """A row for each text and a column for each place of an n-gram: whether the text, all of it and a space on either
+    side, has it."""
     size = np.array([len(t) + 2 for t in texts], np.int64)
-    points = np.frombuffer(("".join(f" {t} " for t in texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return lut[np.minimum(points, len(lut) - 1)], np.concatenate([[0], np.cumsum(size)])
-
-
-def presence(texts: list[str], lut: np.ndarray, least: int, most: int) -> np.ndarray:
-    """A row for each text and a column for each possible n-gram: whether the text, all of it, has it."""
-    x, at = symbols(texts, lut)
-    base = int(lut.max()) + 1
-    width = [base**n for n in range(least, most + 1)]
-    out = np.zeros((len(texts), sum(width)), bool)
-    row = np.repeat(np.arange(len(texts)), np.diff(at))
-    code, start = x.astype(np.int64), 0
+    x = np.frombuffer(("".join(f" {t} " for t in texts)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    out = np.zeros((len(texts), 1 << BITS), bool)
+    row = np.repeat(np.arange(len(texts)), size)
+    code = np.zeros(len(x), np.uint64)
     for n in range(1, most + 1):
-        if n > 1:
-            code = code[:-1] * base + x[n - 1 :]
+        # every n-gram one longer: characters, n-grams before, and n in one sum
+        code = (code[: len(x) - n + 1] + x[n - 1 :]) * FACTORS[n % 4] + np.uint64(n)
         if n >= least:
             inside = row[: len(code)] == row[n - 1 :]
-            out.reshape(-1)[(row[: len(code)] * out.shape[1] + start + code)[inside]] = True
-            start += width[n - least]
+            spread = (code ^ (code >> np.uint64(31))) * FACTORS[0]
+            out.reshape(-1)[((row[: len(code)] << BITS) + (spread >> np.uint64(64 - BITS)).astype(np.int64))[inside]] = True
     return out
 
 
@@ -61,19 +55,13 @@ class Kernel:
         self.classes = sorted(set(langs))
         if not self.classes:
             return
-        points, count = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-        points = points[np.lexsort((points, -count))]
-        points = points[points != 32][: LETTERS - 2]
-        self.lut = np.full(int(points.max()) + 2, 1, np.uint8)
-        self.lut[32] = 0
-        self.lut[points] = np.arange(2, len(points) + 2)
         # as many landmarks of each language, in the order given
         turn, order = {}, []
         for i, g in enumerate(langs):
             turn[g] = turn.get(g, 0) + 1
             order.append((turn[g], i))
         picked = sorted(i for _, i in sorted(order)[:landmarks])
-        marks = presence([texts[i] for i in picked], self.lut, least, most)
+        marks = presence([texts[i] for i in picked], least, most)
         self.used = np.flatnonzero(marks.any(0))
         own = marks.sum(1)
         self.marks = (marks[:, self.used] / np.sqrt(own)[:, None]).astype(np.float32)
@@ -90,7 +78,7 @@ class Kernel:
 
     def similar(self, texts: list[str]) -> np.ndarray:
         """Kernel values with the landmarks: one matrix product for the batch."""
-        seen = presence(texts, self.lut, self.least, self.most)
+        seen = presence(texts, self.least, self.most)
         own = np.maximum(np.count_nonzero(seen, axis=1), 1)
         return (seen[:, self.used].astype(np.float32) @ self.marks.T) / np.sqrt(own)[:, None]
 
@@ -103,8 +91,11 @@ class Kernel:
 
 def training(docs: DataFrame, most: int) -> tuple[list[str], list[str]]:
     """Texts and languages of at most ``most`` labelled documents: the lowest hashes of texts, whatever their order."""
-    ids = docs.filter("lang is not null and text is not null").select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(most)
-    top = ids.agg(F.max("h")).first()[0]
+    h = docs.filter("lang is not null and text is not null").select(F.xxhash64("text").alias("h"))
+    # each partition passes on its lowest hashes only; repeated texts may leave fewer different ones than wanted
+    low = [r["h"] for r in h.orderBy("h").limit(4 * most).collect()]
+    low = sorted(set(low)) if len(low) < 4 * most or len(set(low)) >= most else [r["h"] for r in h.distinct().orderBy("h").limit(most).collect()]
+    top = low[:most][-1] if low else None
     if top is None:
         return [], []
     d = docs.filter((F.xxhash64("text") <= F.lit(top)) & F.col("lang").isNotNull()).select(letters(F.col("text")).alias("text"), F.col("lang").cast("string").alias("lang")).filter("text <> ''").distinct()
