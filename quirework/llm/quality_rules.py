@@ -66,11 +66,9 @@ def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     np.add.at(whole, line, mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     used = (chars > 0) & (count > 0)
     row = np.searchsorted(off, starts, "right") - 1
-    last = data[np.maximum(ends - 1, 0)].copy() if len(ends) else data[:0]
-    for _ in range(3):  # the last character before blanks
-        blank = last == 32
-        ends = np.where(blank, ends - 1, ends)
-        last = np.where(blank, data[np.maximum(ends - 1, 0)] if len(data) else last, last)
+    # the last character of the line that is no blank, however many blanks follow it
+    seen_last = np.maximum.accumulate(np.where(kind == BLANK, -1, np.arange(len(data))))
+    last = data[np.maximum(seen_last[np.maximum(ends - 1, 0)], 0)] if len(ends) else data[:0]
     starts, n, chars, count, repeats, differ, whole, row, last = (x[used] for x in (starts, n, chars, count, repeats, differ, whole, row, last))
     pair = np.lexsort((starts, whole, row))
     seen = np.zeros(len(starts), bool)

@@ -74,3 +74,10 @@ def test_hard_rows_and_training(spark):
     assert training(d, labels, 10) == (["one two three four", "one two three four", "a"], [0, 0, 1])
     nothing = fit([], [])
     assert all(r["keep"] == (r["n_lines"] > 0) for r in label_lines(d, nothing).collect())
+
+
+def test_blanks_at_the_end_of_a_line_change_nothing():
+    at = NAMES.index("ends a sentence")
+    for tail in ("", " ", "   ", " " * 50, "\t \r", " " * 5000):
+        x, _, _ = lines(pa.array([f"It ends here.{tail}\nIt goes on,{tail}\nno more{tail}"]))
+        assert x[:, at].tolist() == [1, 0, 0]
