@@ -24,13 +24,13 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float], default_weight:
     ``budget`` is the number of tokens wanted in all, by default as many as there are. Sources without any token take
     no share and have rate 1: there is nothing to scale.
     """
+    if not all(w >= 0 for w in [default_weight, *weights.values()]):
+        raise ValueError("weights must not be negative")
     per = docs.groupBy("source").agg(F.sum(tokens(F.col("text"))).alias("tokens"))
     weight = F.lit(float(default_weight))
     for k, w in weights.items():
         weight = F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(w))).otherwise(weight)
     per = per.withColumn("weight", weight)
-    if per.filter("weight < 0 or isnan(weight)").limit(1).count():
-        raise ValueError("weights must not be negative")
     used = F.col("tokens") > 0
     total = per.agg(F.sum(F.when(used, F.col("weight"))).alias("all_weight"), F.sum("tokens").alias("all_tokens"))
     wanted = F.col("all_tokens").cast("double") if budget is None else F.lit(float(budget))
@@ -55,7 +55,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float], default_weight: fl
     is spread over ``SALTS`` partitions.
 
     Null source: a source of its own, weighted by the key None. Null or empty text: no tokens, but emitted like others
-    of its source. Null id: the coin is of the text. Repeated rows: each is emitted, with the same coin. No rows: none.
+    of its source. Null id: the coin is of the text. Repeated rows: each is emitted, with the same coin. Long texts: counted whole. No rows: none.
     Extra columns are kept, whatever their names.
     """
     per = rates(docs, weights, default_weight, budget).select("source", "rate")
