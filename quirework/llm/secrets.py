@@ -21,13 +21,22 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, name string, start int, end int, masked string, secret_md5 string, score double"
 #: Findings below are not reported.
 LEAST = 0.5
-NAME = r"""(?:[A-Za-z_$@][\w$@]*(?:(?:\.|->|::|-)[A-Za-z_$@][\w$@]*)*(?:\[\s*(?:"[^"\n]{1,200}"|'[^'\n]{1,200}'|\w{1,200})\s*\])*|"[^"\n=:]{1,200}"|'[^'\n=:]{1,200}')"""
-STRING = r'''(?:[rRbBuUfF@]{0,2}(?:"""(?:[^\\]|\\.){0,20000}?"""|\'\'\'(?:[^\\]|\\.){0,20000}?\'\'\'|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`))'''
-#: A name, perhaps its type, and a sign of assignment that isn't a comparison.
-TARGET = re.compile(rf"(?<![\w$@.\-])({NAME})\s{{0,20}}(?::\s{{0,5}}([A-Za-z_][\w.\[\]<>, ]{{0,60}}?)\s{{0,5}}(?==[^=]))?(:=|=>|(?<![=!<>])=(?!=)|:(?![:/=\\]))[ \t]{{0,20}}(?=\S)")
+NAME = r"""(?:[A-Za-z_$@][\w$@]*(?:(?:\.|->|::|-)[A-Za-z_$@][\w$@]*)*(?:\[\s*+(?:"[^"\n]++"|'[^'\n]++'|\w++)\s*+\])*|"[^"\n=:]++"|'[^'\n=:]++')"""
+#: A name, perhaps its type on the same line, and a sign of assignment that isn't a comparison.
+TARGET = re.compile(rf"(?<![\w$@.])(?<![\w$@.]-)({NAME})\s*+(?::[ \t]*+([A-Za-z_][\w.\[\]<>, ]*+)(?==[^=]))?(:=|=>|(?<![=!<>])=(?!=)|:(?![:/=\\]))[ \t]*+(?=\S)")
 #: The name that ends what was read as a type, if it was none: "Note: the token = ".
-LAST = re.compile(r"[A-Za-z_][\w.]*(?:\[\w*\])*$")
-PART = re.compile(rf"\s*(?:({STRING})|(\$?\{{?[A-Za-z_][\w.]*\}}?(?![\w(])))\s*", re.DOTALL)
+LAST = re.compile(r"[A-Za-z_][\w.]*(?:\[\w*\])*")
+BETWEEN = re.compile(r"[<>, ]")
+#: What opens a string, and strings that end on their line.
+OPEN = re.compile(r"""[rRbBuUfF@]{0,2}(\"{3}|'{3}|["'`])""")
+LINE = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*+{q}", re.DOTALL) for q in "\"'"}
+#: What ends a string over lines, or an escape, beyond which to go on.
+ENDS = {q: re.compile(rf"\\.|{q}", re.DOTALL) for q in ('"""', "\'\'\'", "`")}
+REFER = re.compile(r"\$?\{?[A-Za-z_][\w.]*\}?(?![\w(])")
+BLANKS = re.compile(r"\s*")
+#: Characters of constants that are put into the literals of a text, beyond its own length; references that would take
+#: more stay as they are written, so that doubling a constant again and again does no harm.
+ROOM = 1_000_000
 #: A value without quotes ends at white space or at a sign that closes what it is in.
 BARE = re.compile(r"[^\s\"'`,;<>{}()\[\]|#]+")
 REFERENCE = re.compile(r"\$\{(\w+)\}|\$\((\w+)\)|\$(\w+)|%\((\w+)\)s|\{(\w+)\}")
@@ -40,7 +49,12 @@ HOT = {
 HOT_PAIRS = {("api", "key"): 1.0, ("private", "key"): 1.0, ("access", "key"): 1.0, ("secret", "key"): 1.0, ("auth", "key"): 1.0, ("encryption", "key"): 1.0, ("signing", "key"): 1.0, ("account", "key"): 0.9, ("master", "key"): 0.9, ("client", "secret"): 1.0, ("connection", "string"): 0.7, ("ssh", "key"): 0.9, ("license", "key"): 0.7}
 #: Names that end so hold a property of a secret, not a secret.
 COLD = frozenset("length size count type name id url uri path file expiry expires expiration ttl timeout field label hint prompt header format regex pattern enabled required policy count index limit max min".split())
-DUMMY = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|_+|0+|1234\w{0,8}|test\w{0,4}|example\w*|sample\w*|dummy\w*|changeme|change_me|placeholder\w*|your\w*|my\w*|todo|tbd|none|null|nil|true|false|undefined|redacted|password|passwd|secret|token|foo|bar|foobar|<.*>|\[.*\]|\{.*\}|\$\{?.*\}?|%.*%|(?:os\.|env\.|process\.env|getenv|sys\.).*)$")
+#: Words that fillers are made of, such as your-key-here and my_password.
+FILLER = "my|your|own|the|insert|enter|put|api|app|secret|password|passwd|pass|pwd|token|key|here|value|example|sample|dummy|placeholder|access|auth|client|database|db|user|name|string|goes|is|private"
+DUMMY = re.compile(rf"(?i)^(?:(?:example|sample|dummy|placeholder|my|your|insert|enter|put)(?:[\W_]*+(?:{FILLER}|\d))*[\W_]*+|x+|\*+|\.+|-+|_+|0+|1234\w{{0,8}}|test\w{{0,4}}|changeme|change_me|todo|tbd|none|null|nil|true|false|undefined|redacted|password|passwd|secret|token|foo|bar|foobar|<.*>|\[.*\]|\{{.*\}}|\$\{{?.*\}}?|%.*%|(?:os\.|env\.|process\.env|getenv|sys\.).*)$")
+
+
+SPLIT = re.compile("[?&]")
 
 
 def entropy(text: str) -> float:
@@ -78,41 +92,94 @@ def unquote(token: str) -> str:
     return t.replace('\\"', '"').replace("\\'", "'").replace("\\\\", "\\") if "\\" in t else t
 
 
-def assignments(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(name, literal, start, end of the right side) of all assignments, constants put in, in order."""
-    known: dict[str, str] = {}
-
-    def fill(s: str) -> str:
-        return REFERENCE.sub(lambda m: known.get(next(g for g in m.groups() if g), m[0]), s) if known and ("$" in s or "{" in s or "%(" in s) else s
-
-    at = 0
-    while m := TARGET.search(text, at):
-        name, sign, start = m[1].strip("\"'"), m[3], m.end()
-        # both readings: a name and its type, or a heading and a name
-        other = q[0] if m[2] and (q := LAST.search(m[2])) else name
-        name, other = (other, name) if heat(other) > heat(name) == 0 else (name, other)
-        parts, end, p = [], start, start
-        while q := PART.match(text, p):
-            if q[1]:
-                parts.append(fill(unquote(q[1])))
-                end = q.end(1)
-            elif (ref := q[2].strip("${}")) in known and (sign != ":" or parts or q[2][0] == "$"):
-                parts.append(known[ref])
-                end = q.end(2)
+class Lexer:
+    """A text with what was assigned in it so far."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.known, self.room = text, {}, ROOM + len(text)
+        #: For a kind of quote, a place from which on nothing closes one.
+        self.open: dict[str, int] = {}
+
+    def string(self, p: int) -> tuple[int, int, int] | None:
+        """(start and end of what is in the string at p, its end), if there is one."""
+        if not (m := OPEN.match(self.text, p)):
+            return None
+        quote, start = m[1], m.end()
+        if quote in ENDS:
+            if start < self.open.get(quote, len(self.text) + 1):
+                for e in ENDS[quote].finditer(self.text, start):
+                    if e[0] == quote:
+                        return start, e.start(), e.end()
+                self.open[quote] = start
+            if quote == "`":
+                return None
+            quote, start = quote[0], start - 2  # an empty string, then
+        if not (e := LINE[quote].match(self.text, start)):
+            return None
+        return start, e.end() - 1, e.end()
+
+    def constant(self, name: str, else_: str) -> str:
+        value = self.known.get(name, else_)
+        if value is not else_:
+            if len(value) > self.room:
+                return else_
+            self.room -= len(value)
+        return value
+
+    def fill(self, s: str) -> str:
+        if not self.known or not ("$" in s or "{" in s or "%(" in s):
+            return s
+        return REFERENCE.sub(lambda m: self.constant(next(g for g in m.groups() if g), m[0]), s)
+
+    def right(self, p: int, sign: str) -> tuple[list[str], int, list[tuple[int, int]]]:
+        """The parts of the right side at p, its end, and where what is in its strings stands."""
+        parts, end, inside = [], p, []
+        while True:
+            p = BLANKS.match(self.text, p).end()
+            if q := self.string(p):
+                parts.append(self.fill(unquote(self.text[p : q[2]])))
+                inside.append(q[:2])
+                end = q[2]
+            elif (m := REFER.match(self.text, p)) and (ref := m[0].strip("${}")) in self.known and (sign != ":" or parts or m[0][0] == "$"):
+                parts.append(self.constant(ref, m[0]))
+                end = m.end()
             else:
-                break
-            p = q.end()
-            if text[p : p + 1] not in ("+", ".") or text[p : p + 2] in ("++", "+="):
-                break
+                return parts, end, inside
+            p = BLANKS.match(self.text, end).end()
+            if self.text[p : p + 1] not in ("+", ".") or self.text[p : p + 2] in ("++", "+="):
+                return parts, end, inside
             p += 1
-        if not parts and (b := BARE.match(text, start)) and sign != "=>":
-            parts, end = [fill(b[0])], b.end()
-        at = max(end, m.end()) if parts else m.end()
-        if parts:
-            value = "".join(parts)
-            yield name, value, start, end
-            for x in (other, name):
-                known[x.rpartition(".")[2]] = known[x] = value
+
+    def run(self, at: int, stop: int) -> Iterator[tuple[str, str, int, int]]:
+        while m := TARGET.search(self.text, at, stop):
+            name, sign, start = m[1].strip("\"'"), m[3], m.end()
+            # both readings: a name and its type, or a heading and a name
+            other = q[0] if m[2] and (q := LAST.fullmatch(BETWEEN.split(m[2].rstrip())[-1])) else name
+            name, other = (other, name) if heat(other) > heat(name) == 0 else (name, other)
+            parts, end, inside = self.right(start, sign)
+            if end > stop:
+                parts, end, inside = [], start, []
+            within: list[tuple[str, str, int, int]] = []
+            if not parts and (b := BARE.match(self.text, start, stop)) and sign != "=>":
+                parts, end = [self.fill(b[0])], b.end()
+                # name=value once more, as in a query or an option
+                within = [(n, v, start, end) for n, eq, v in (x.rpartition("=") for x in SPLIT.split(b[0])) if eq and v and heat(n)] if "=" in b[0] else []
+            at = max(end, m.end()) if parts else m.end()
+            if parts:
+                value = "".join(parts)
+                yield name, value, start, end
+                yield from within
+                for x in (other, name):
+                    self.known[x.rpartition(".")[2]] = self.known[x] = value
+                for a, b in inside:
+                    if b - a > 4:
+                        yield from self.run(a, b)
+
+
+def assignments(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """(name, literal, start, end of the right side) of all assignments, constants put in, in order; after each, those
+    that stand in its literal."""
+    return Lexer(text).run(0, len(text))
 
 
 def scan(text: str, least: float = LEAST) -> list[tuple[str, int, int, str, float]]:
@@ -133,8 +200,8 @@ def scan_docs(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     The secret itself isn't passed on but for its first three characters and its MD5, by which copies can be joined.
     Texts without = or : don't leave the JVM. Null, empty and blank texts: no rows. Null id: reported with it. Repeated
-    rows: each is reported. A name that is assigned twice: both. Long texts: whole. No rows: none. Extra columns aren't
-    passed on.
+    rows: each is reported. A name that is assigned twice: both. Long texts and literals: whole. Assignments within a
+    literal are reported besides its own. No rows: none. Extra columns aren't passed on.
     """
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

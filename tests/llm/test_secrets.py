@@ -56,7 +56,7 @@ def test_scores():
 
 
 def test_time_on_hostile_texts():
-    for t in ["a" * 200_000, "a." * 60_000, "a[" * 50_000, "\"" * 50_000, "x = " * 40_000, "x: y " * 40_000, "a-" * 60_000 + "=", "'''" * 30_000, "x = 'a' + " * 20_000, " " * 200_000, "x: a_ " * 30_000 + "=", "token = \"" + "a\\" * 50_000]:
+    for t in ["x = `" * 40_000, "x = \"\"\" " * 40_000, "x=" * 100_000, "x: a " + " " * 200_000, "x: " + "a" * 200_000 + ">=", "a" + " " * 200_000 + "b", "\"a" * 100_000, "x = \"y = 'z = `" * 20_000, "a[\"" * 60_000, "password = 'my" + "_" * 200_000 + "q'", "a" * 200_000, "a." * 60_000, "a[" * 50_000, "\"" * 50_000, "x = " * 40_000, "x: y " * 40_000, "a-" * 60_000 + "=", "'''" * 30_000, "x = 'a' + " * 20_000, " " * 200_000, "x: a_ " * 30_000 + "=", "token = \"" + "a\\" * 50_000]:
         began = time.time()
         list(assignments(t))
         assert time.time() - began < 10, t[:20]
@@ -71,3 +71,112 @@ def test_hard_rows(spark):
     assert (one["name"], one["start"], one["end"], one["masked"]) == ("token", 11, 28, "923********")
     assert len({x["secret_md5"] for x in out}) == 2
     assert scan_docs(spark.createDataFrame([], DOCS)).collect() == []
+
+
+@pytest.mark.parametrize("n", [10, 150, 250, 19_000, 21_000, 300_000])
+def test_long_names_and_literals(n):
+    v = "aB3_" * n
+    for q in ('"""', "'''", "`", '"'):
+        assert [x[3] for x in scan(f"password = {q}{v}{q}\n")] == [v]
+    assert [(x[0], x[3]) for x in scan(f"\"{'n' * n}_password\" = \"Zx9kLm2Qw8eRt\"")] == [("n" * n + "_password", "Zx9kLm2Qw8eRt")]
+    assert len(scan(f"conf['{'n' * n}_password'] = 'Zx9kLm2Qw8eRt'")) == 1
+    assert [x[3] for x in scan("password" + " " * n + "=" + " " * n + "'Zx9kLm2Qw8eRt'")] == ["Zx9kLm2Qw8eRt"]
+    assert [x[0] for x in scan(f"password: Map[{'T, ' * n}T] = 'Zx9kLm2Qw8eRt'")] == ["password"]
+
+
+def test_doubling_a_constant_does_no_harm():
+    t = "a=\"xyzw\"\n" + "a=\"$a$a\"\n" * 40 + "b = a + a + a\n" * 40 + "password = \"Zx9$k{c}\"\nc = 'Lm2Qw8'\ntoken = '9233a8ec' + c"
+    began = time.time()
+    got = list(assignments(t))
+    assert sum(len(x[1]) for x in got) < 3_000_000 and time.time() - began < 2
+    assert got[2][1] == "xyzw" * 4 and got[-1][:2] == ("token", "9233a8ecLm2Qw8")
+
+
+@pytest.mark.parametrize("text", ["cmd = \"export PASSWORD={v}\"", "cmd = 'run --password=\"{v}\"'", "url = http://host/x?token={v}&y=1", "args: --api-key={v}", "s = \"\"\"a: b\npassword: {v}\n\"\"\""])
+def test_assignments_within_literals(text):
+    assert "Zx9kLm2Qw8eRt7" in [x[3] for x in scan(text.format(v="Zx9kLm2Qw8eRt7"))]
+
+
+def test_fillers_are_whole_words():
+    assert [strength(x) for x in ("my_password", "your-key-here", "YOUR_API_KEY_1", "example123", "placeholder", "my secret token")] == [0.0] * 6
+    assert all(strength(x) > 0.5 for x in ("MyDogRex1998", "yourb4nkP1n!x", "sampleZx9kLm2Q"))
+
+
+def slow_lexer(text):
+    """(name, literal) of the assignments of a text of names, signs, strings in double quotes and line ends, character by
+    character; + joins, and a name that is known stands for its literal."""
+    out, known, i = [], {}, 0
+
+    def blanks(k, lines):
+        while k < len(text) and (text[k] == " " or lines and text[k] == "\n"):
+            k += 1
+        return k
+
+    def name_at(k):
+        e = k
+        while e < len(text) and text[e] in ("acd_" if e == k else "acd_7"):
+            e += 1
+        return e
+
+    while i < len(text):
+        if i and text[i - 1] in "acd_7":
+            i += 1
+            continue
+        e = name_at(i)
+        name = text[i:e]
+        if text[i] == "\"" and (q := text.find("\"", i + 1)) > i + 1 and not set("\n=:") & set(text[i:q]):
+            e, name = q + 1, text[i + 1 : q]
+        if not name:
+            i += 1
+            continue
+        k, sign = blanks(e, True), ""
+        ways = [k]
+        if text[k : k + 1] == ":":  # name: type = ...
+            p = q = blanks(k + 1, False)
+            while q < len(text) and text[q] in ("acd_" if q == p else "acd_7 "):
+                q += 1
+            if q > p and text[q : q + 1] == "=" and text[q + 1 : q + 2] not in ("", "="):
+                ways = [q, k]
+        for k in ways:
+            sign = ":=" if text[k : k + 2] == ":=" else text[k : k + 1]
+            if sign not in (":", "=", ":=") or (sign == "=" and (text[k + 1 : k + 2] == "=" or text[k - 1] in "=")) or (sign == ":" and text[k + 1 : k + 2] in (":", "=")):
+                sign = ""
+                continue
+            k = blanks(k + len(sign), False)
+            if k < len(text) and text[k] != "\n":
+                break
+            sign = ""
+        if not sign:
+            i += 1
+            continue
+        value, end, p = "", None, k
+        while True:
+            p = blanks(p, True)
+            if text[p : p + 1] == "\"" and (q := text.find("\"", p + 1)) >= 0 and "\n" not in text[p:q]:
+                value, end = value + text[p + 1 : q], q + 1
+            elif p < len(text) and text[p : name_at(p)] in known and (sign != ":" or end):
+                value, end = value + known[text[p : name_at(p)]], name_at(p)
+            else:
+                break
+            p = blanks(end, True)
+            if text[p : p + 1] != "+" or text[p : p + 2] == "++":
+                break
+            p += 1
+        if end is None:  # without quotes: up to a blank or a quote
+            end = k
+            while end < len(text) and text[end] not in " \n\"":
+                end += 1
+            value = text[k:end]
+        if end > k:
+            out.append((name, value))
+            known[name] = value
+        i = max(end, k)
+    return out
+
+
+def test_against_a_slow_lexer():
+    r = random.Random(4)
+    words = ["a", "d", "adc", "c_", " ", " ", "\n", " = ", "=", ": ", " := ", "\"xy\" ", "\"z w\" ", "\"\" ", " + ", "7", " == "]
+    for _ in range(4000):
+        text = "".join(r.choices(words, k=r.randint(1, 12)))
+        assert [x[:2] for x in assignments(text)] == slow_lexer(text), text
