@@ -1,5 +1,7 @@
 import math
 import random
+import time
+import tracemalloc
 from collections import defaultdict
 from html.parser import HTMLParser
 
@@ -105,3 +107,25 @@ def test_hard_pages(spark):
     assert got[4]["text"] == "just text" and got[4]["content_paths"] == [""] and got[8]["text"] == "deep" and len(got[9]["text"]) == 300_000
     assert got[10]["text"] == got[11]["text"] == extract(PAGE)[0] and got[None]["text"] == "a < b and <c" and got[13]["text"] == "kept"
     assert extract_pages(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_time_and_memory_on_hostile_pages():
+    n = 1_000_000
+    for part in ("<a ", "<a", "<div>a", "<b>a<p>c", "<a '", "<a \"x' ", "</b", "<p>a</i>", "<script>x</script ", "<!-", "<table><td>a", "<p><button><b>a<h1>", "&amp", "<ul><li>a"):
+        page = part * (n // len(part))
+        began = time.time()
+        extract(page)
+        assert time.time() - began < 20, part
+    tracemalloc.start()
+    extract("<div>a" * 33_000)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    deep = "<b>" * 20_000 + "<h1>a</h1>" * 20_000
+    began = time.time()
+    assert extract(deep)[1] == 20_000 and time.time() - began < 10
+
+
+def test_tags_that_do_not_end_among_others():
+    assert [(p, t) for p, t, _ in text_nodes("<b>x</b> <i 'y <u>z</u> w")] == [("b", "x"), ("", "<i 'y"), ("u", "z"), ("", "w")]
+    assert [(p, t) for p, t, _ in text_nodes("a <b c=\"d <i>e</i> \"> f")] == [("", "a"), ("b", "f")]
+    assert text_nodes("<div>" * 70 + "x")[0][0] == "(6)>" + ">".join(["div"] * 64)
