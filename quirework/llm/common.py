@@ -28,10 +28,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    The setting of the session is used as it is; only where there is none, as in tests, a temporary folder is set.
+    The setting of the session is used as it is. Where there is none, a session of one machine, as in tests, gets a
+    temporary folder; on a cluster a folder of one machine would lose data, so it is an error.
     """
     sc = spark.sparkContext
-    set_by = sc.getConf().get("spark.checkpoint.dir")
+    set_by = spark.conf.get("spark.checkpoint.dir", None)
+    if not set_by and sc.getCheckpointDir() is None and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(set_by or tempfile.mkdtemp(prefix="quirework-"))
     return (set_by or sc.getCheckpointDir()).rstrip("/")

@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from quirework.llm.common import fresh, stash, without
 
+#: Parts by hash that groups of one size are ranked in.
+PARTS = 64
 RUNS = "size long, first long, per_shard long, shard long, shards long"
 
 
@@ -123,11 +125,12 @@ def shard(docs: DataFrame, capacity: int, group: Sequence[str] | None = None, si
     size: the size of a row, by default the bytes of its text. keep: the columns wanted, by default all.
     capacity: the most that a shard holds. A larger group can't be divided and has a shard of its own.
 
-    Only a hash, the size and the columns kept are shuffled. Ranks within a size come from a window by size. The plan
-    is made from the histogram of sizes, whose length is bounded by the capacity and not by the data.
+    Only a hash, the size and the columns kept are shuffled. Groups of one size are ranked in ``PARTS`` parts by their
+    hash, so that a size that most groups have is spread too; the counts of the parts before add up to each one's offset.
+    The plan is made from the histogram of sizes, whose length is bounded by the capacity and not by the data.
 
     Null text: size 0; rows with null in all group columns are one group. Empty texts: size 0, they go into the
-    tightest shard. Ties: by the hash of the group. Repeated rows: of one group, so of one shard. No rows: none.
+    tightest shard. Ties: by the hash of the group. Repeated rows: of one group, so of one shard. Long texts: by all their bytes. No rows: none.
     Columns named shard_id or group_bytes are replaced; other extra columns are kept.
     """
     if capacity < 1:
@@ -140,12 +143,19 @@ def shard(docs: DataFrame, capacity: int, group: Sequence[str] | None = None, si
     if keep is not None:
         rows = rows.select(*[f"`{c}`" for c in keep], key, own)
     groups = rows.groupBy(key).agg(F.sum(own).alias("size"))
-    ranked = stash(groups.withColumn("rank", F.row_number().over(Window.partitionBy("size").orderBy(key)).cast("long") - 1))
-    todo = plan(ranked.groupBy("size").agg(F.count("*").alias("n")), capacity)
-    starts = todo.select("size", F.col("first").alias("rank"), F.struct("first", "per_shard", "shard").alias("run"), F.lit(None).cast("binary").alias(key))
-    both = ranked.select("size", "rank", F.lit(None).cast("struct<first:bigint,per_shard:bigint,shard:bigint>").alias("run"), key).unionByName(starts)
-    w = Window.partitionBy("size").orderBy("rank", F.col("run").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("run", F.last("run", ignorenulls=True).over(w)).filter(F.col(key).isNotNull())
+    part, w = F.pmod(F.xxhash64(key), F.lit(PARTS)), Window.partitionBy("size", "part")
+    ranked = stash(groups.withColumn("part", part).withColumn("rank", F.row_number().over(w.orderBy(key)).cast("long") - 1))
+    counts = stash(ranked.groupBy("size", "part").agg(F.count("*").alias("n")))
+    before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    todo = plan(counts.groupBy("size").agg(F.sum("n").alias("n")), capacity)
+    # the runs that a part has groups of, with ranks counted from its first one
+    reach = (F.col("first") < F.col("offset") + F.col("n")) & (F.col("first") + F.col("per_shard") * F.col("shards") > F.col("offset"))
+    first = F.col("first") - F.col("offset")
+    starts = offsets.join(todo, "size").filter(reach).select("size", "part", F.greatest(first, F.lit(0)).alias("rank"), F.struct(first.alias("first"), "per_shard", "shard").alias("run"), F.lit(None).cast("binary").alias(key))
+    both = ranked.select("size", "part", "rank", F.lit(None).cast("struct<first:bigint,per_shard:bigint,shard:bigint>").alias("run"), key).unionByName(starts)
+    along = w.orderBy("rank", F.col("run").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("run", F.last("run", ignorenulls=True).over(along)).filter(F.col(key).isNotNull())
     number = F.col("run.shard") + F.floor((F.col("rank") - F.col("run.first")) / F.col("run.per_shard"))
     placed = placed.select(F.col(key), number.cast("long").alias("shard_id"), F.col("size").alias("group_bytes"))
     return rows.join(placed, key).drop(key, own)

@@ -177,8 +177,9 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W,
     or more are found, and no shorter ones are given. A benchmark of up to ``index_words`` words, counted first, goes to
     the executors as an index and documents aren't shuffled; beyond, fingerprints of both sides are joined.
 
-    Null id of a document or an item: not reported. Null, empty and short texts share nothing. Repeated rows: reported
-    once. Empty tables: no rows. Extra columns aren't passed on.
+    Null id of a document or an item: not reported. Null, empty and short texts share nothing. Long texts: whole; a word
+    or phrase that goes on and on takes time in proportion to its spans. Ties between equal hashes: the rightmost. Repeated
+    rows: reported once. Empty tables: no rows. Extra columns aren't passed on.
     """
     items, least = _items(benchmark), w + k - 1
     index = _index(items, k, w, index_words)
@@ -201,8 +202,8 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W,
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W, index_words: int = 5_000_000) -> DataFrame:
     """The rows of ``docs`` that share no span of w + k - 1 words with the benchmark, with all their columns.
 
-    Rows are judged by their text, so those without an id are too; null and empty texts stay. Repeated rows: each is
-    judged. Columns are neither added nor replaced, whatever their names.
+    Rows are judged by their text, so those without an id are too; null and empty texts stay. Long texts: whole. Repeated
+    rows: each is judged. No documents: no rows; no benchmark: all rows. Columns are neither added nor replaced, whatever their names.
     """
     items, least = _items(benchmark), w + k - 1
     index = _index(items, k, w, index_words)

@@ -63,3 +63,13 @@ def test_hard_rows(spark):
     assert len({x["shard_id"] for x in rows if x["text"] == "one two three four"}) == 1
     assert shard(spark.createDataFrame([], DOCS), 10).collect() == []
     assert shard(d, 10, group=["doc_id", "lang"], keep=["lang"]).columns == ["lang", "shard_id", "group_bytes"]
+
+
+def test_most_groups_of_one_size(spark):
+    # chunks of a fixed length, of which every shard takes three, and some smaller texts
+    texts = [f"{i:010d}" for i in range(400)] + [f"{i:04d}" for i in range(50)]
+    out = shard(docs(spark, texts), 34).collect()
+    load = defaultdict(int)
+    for x in out:
+        load[x["shard_id"]] += len(x["text"])
+    assert len(out) == 450 and sorted(load.values()) == one_by_one([len(t) for t in texts], 34)
