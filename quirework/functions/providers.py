@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Protocol
 from zlib import crc32
 
@@ -21,6 +21,10 @@ class Provider(Protocol):
     def rerank(self, query: str, candidates: Sequence[dict]) -> list[str]: ...
     def questions(self, section: str, n: int) -> list[tuple[str, str]]: ...
     def answer(self, query: str, evidence: Sequence[tuple[str, str]], graph: Sequence[str]) -> str: ...
+    def plan(self, section: str, known: Sequence[str]) -> dict: ...
+    def graph(self, spans: Sequence[tuple[str, str]]) -> dict: ...
+    def verify(self, candidates: Sequence[dict]) -> list[int]: ...
+    def teach_step(self, title: str, focus: str, text: str, graph: Sequence[str]) -> str: ...
 
 
 class OfflineProvider:
@@ -47,6 +51,21 @@ class OfflineProvider:
         parts = [p.strip() for p in re.split(r"(?<=[.!?])\s+", section or "") if p.strip()]
         return dedup_questions([(f"What is said of {' '.join(WORD.findall(p)[:6])}?", p[:200]) for p in parts])[: max(0, min(n, 5))]
 
+    def plan(self, section: str, known: Sequence[str]) -> dict:
+        """Capitalised words that come more than once for entities, and up to four steps, a paragraph each."""
+        names = [w for w in dict.fromkeys(re.findall(r"\b[A-Z][A-Za-z0-9]{2,}\b", section or "")) if len(re.findall(rf"\b{w}\b", section)) > 1]
+        parts = [p.strip() for p in re.split(r"\n\s*\n", section or "") if p.strip()][:4]
+        return {"main_entities": names[:8], "learning_roadmap": [{"seq_id": i, "title": " ".join(WORD.findall(p)[:5]), "content_focus": p[:200], "concepts": [n for n in names[:8] if n in p]} for i, p in enumerate(parts)]}
+
+    def graph(self, spans: Sequence[tuple[str, str]]) -> dict:
+        return {"nodes": [], "edges": []}
+
+    def verify(self, candidates: Sequence[dict]) -> list[int]:
+        return list(range(len(candidates)))
+
+    def teach_step(self, title: str, focus: str, text: str, graph: Sequence[str]) -> str:
+        return f"{title}: {focus}"
+
     def answer(self, query: str, evidence: Sequence[tuple[str, str]], graph: Sequence[str]) -> str:
         return " ".join(f"{re.split(r'(?<=[.!?])\s', text.strip())[0][:200]} {label}" for label, text in evidence)
 
@@ -79,3 +98,45 @@ def clamped(value: object, cap: int) -> int:
     except ValueError:
         return cap
     return cap if n < 1 or n > cap else n
+
+
+def retrieval_limits(settings: Mapping[str, object]) -> dict[str, int]:
+    """The bounds that a search really has: those of the settings, at most the defaults."""
+    return {"search_limit": clamped(settings.get("search_limit"), 25), "max_candidate_parents": clamped(settings.get("max_candidate_parents"), 5), "final_parent_limit": 2}
+
+
+def capabilities(provider: object) -> dict[str, bool]:
+    """Which calls a provider offers."""
+    return {name: callable(getattr(provider, name, None)) for name in CALLS}
+
+
+def self_test(provider: Provider, dim: int) -> list[str]:
+    """What is wrong with a provider, by one small call of each kind; nothing: an empty list."""
+    wrong = []
+    if np.asarray(provider.embed(["ping", "pong"])).shape != (2, dim):
+        wrong.append("embed: shape")
+    if not set(provider.rerank("ping", [{"parent_id": "a", "question": "ping", "section_heading": "", "body_preview": ""}])) <= {"a"}:
+        wrong.append("rerank: unknown parent")
+    if len(provider.questions("One thing is so. Another is not.", 2)) > 2:
+        wrong.append("questions: more than asked for")
+    if not isinstance(provider.answer("ping", [("[a]", "It pings.")], []), str):
+        wrong.append("answer: no text")
+    return wrong
+
+
+def checked_questions(pairs: object, n: int) -> list[tuple[str, str]]:
+    """A reply to a request for n questions: a list of at most n of (question, key knowledge), once each, none blank."""
+    if not isinstance(pairs, list) or len(pairs) > n:
+        raise ValueError("questions must be a list of no more than were asked for")
+    return dedup_questions([(str(q).strip(), str(k)) for q, k in pairs if str(q).strip()])
+
+
+def make_provider(name: str, **settings: object) -> Provider:
+    """A provider by name: ``offline``, or any that was put into ``FACTORIES``."""
+    if name not in FACTORIES:
+        raise ValueError(f"no provider {name}")
+    return FACTORIES[name](**settings)
+
+
+CALLS = ("embed", "rerank", "questions", "answer", "plan", "graph", "verify", "teach_step", "external_scores")
+FACTORIES: dict[str, Callable[..., Provider]] = {"offline": OfflineProvider}

@@ -15,12 +15,14 @@ def register(spark: SparkSession) -> list[str]:
     """Register normalized_phrase, normalize_relation, is_concept_endpoint, parent_id, content_hash, locator, evidence_spans,
     display_blocks and normalize_markdown; the names are returned. Nothing is kept but in this session."""
     phrase = r"trim(regexp_replace(replace(lower(coalesce(x, '')), 'ß', 'ss'), '[^\\p{L}\\p{N}]+', ' '))"
-    raw = r"regexp_replace(regexp_replace(regexp_replace(upper(trim(coalesce(x, ''))), '[ -]', '_'), '_+', '_'), '^_|_$', '')"
+    # as in the Column form: white space of any kind, and ends of texts, not of lines
+    bare = r"regexp_replace(regexp_replace(coalesce(x, ''), '(?U)^\\s+', ''), '(?U)\\s+\\z', '')"
+    raw = rf"regexp_replace(regexp_replace(regexp_replace(upper({bare}), '[ -]', '_'), '_+', '_'), '^_|_\\z', '')"
     names = "map(" + ", ".join(f"'{a}', '{b}'" for a, b in vocab.CANONICAL_OF.items()) + ")"
     lone, edge = (", ".join(f"'{w}'" for w in words) for words in (vocab.LONE, vocab.EDGE))
     bodies = {
         "normalized_phrase(x STRING) RETURNS STRING": phrase,
-        "normalize_relation(x STRING) RETURNS STRING": f"CASE WHEN {raw} RLIKE '^[A-Z][A-Z0-9_]{{0,63}}$' THEN coalesce(try_element_at({names}, {raw}), {raw}) ELSE '' END",
+        "normalize_relation(x STRING) RETURNS STRING": f"CASE WHEN {raw} RLIKE '^[A-Z][A-Z0-9_]{{0,63}}\\\\z' THEN coalesce(try_element_at({names}, {raw}), {raw}) ELSE '' END",
         "is_concept_endpoint(x STRING) RETURNS BOOLEAN": f"{phrase} <> '' AND {phrase} NOT IN ({lone}) AND element_at(split({phrase}, ' '), 1) NOT IN ({edge}) AND element_at(split({phrase}, ' '), -1) NOT IN ({edge})",
         "parent_id(source STRING, section STRING) RETURNS STRING": "md5(concat(source, '__', section))",
         "content_hash(x STRING) RETURNS STRING": "sha2(x, 256)",

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quirework.functions.providers import Provider
 from quirework.functions.text import basename, parent_id
+from quirework.operators.retrieval import bounded_context, contexts, nearest, retrieve
+from quirework.sources.records import embedded
 
 RERANK_SOURCES = ("external", "llm_fallback", "llm", "vector")
 
@@ -76,3 +79,51 @@ def match_titles(expected: DataFrame, actual: DataFrame) -> DataFrame:
     w = Window.partitionBy("source", "section").orderBy(F.desc("score"), F.when(F.col("same"), F.col("title")), F.desc("title"))
     best = rows.filter("score is not null").withColumn("nth", F.row_number().over(w)).filter("nth = 1").select("source", "section", "title")
     return expected.select("source", "section").distinct().join(best, ["source", "section"], "left")
+
+
+def remap_cases(cases: DataFrame, source_map: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cases, unresolved): cases (query_id, expected array<struct<source,section>>, target_file) in the names of a map (source,
+    mapped) and the titles (source, title) stored of those; unresolved (query_id, source, section) are the expectations that
+    have neither. A case without any expectation left is dropped; a target file that isn't in the map becomes ''."""
+    each = cases.select("query_id", F.posexplode("expected").alias("nth", "e")).select("query_id", "nth", "e.source", "e.section")
+    each = each.join(source_map, "source", "left")
+    wanted = each.filter("mapped is not null").select(F.col("mapped").alias("source"), "section").distinct()
+    found = match_titles(wanted, titles).select(F.col("source").alias("mapped"), "section", "title")
+    each = each.join(found, ["mapped", "section"], "left")
+    lost = each.filter("mapped is null or title is null").select("query_id", "source", "section")
+    kept = each.filter("mapped is not null and title is not null").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", F.col("mapped").alias("source"), F.col("title").alias("section")))), lambda x: x.dropFields("nth")).alias("expected"))
+    target = source_map.select(F.col("source").alias("target_file"), F.col("mapped").alias("mapped_target"))
+    rest = cases.drop("expected").join(target, "target_file", "left")
+    rest = rest.withColumn("target_file", F.when(F.coalesce("target_file", F.lit("")) == "", F.col("target_file")).otherwise(F.coalesce("mapped_target", F.lit("")))).drop("mapped_target")
+    return rest.join(kept, "query_id"), lost
+
+
+def evaluate_cases(cases: DataFrame, questions: DataFrame, sections: DataFrame, concepts: DataFrame, relations: DataFrame, provider: Provider, dim: int, limits: dict[str, int] | None = None) -> DataFrame:
+    """(query_id, baseline, ranked, expected, returned_sources, expected_sources, rerank_source, graph_edges) of all cases
+    (query_id, query, target_file, expected array<struct<source,section>>) in one plan.
+
+    The baseline is the parents of the sections nearest to the query itself; sections and questions have vectors.
+    """
+    q = embedded(cases.select("query_id", "query", "target_file"), provider, dim, F.col("query"))
+    base = nearest(q, sections.select(F.col("parent_id").alias("id"), "vector", "source"), 5).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("baseline"))
+    found = retrieve(q, questions, sections.drop("vector"), provider, limits)
+    shape = F.struct("place", "parent_id", "source", "rerank_source")
+    got = found.groupBy("query_id").agg(F.array_sort(F.collect_list(shape)).alias("got"))
+    scope = q.select("query_id", F.coalesce("target_file", F.lit("")).alias("scope"))
+    edges = bounded_context(contexts(found.select("query_id", F.explode("anchor_nodes").alias("name")).join(scope, "query_id"), concepts, relations)).groupBy("query_id").agg(F.count("*").alias("graph_edges"))
+    none = F.array().cast("array<string>")
+    want = cases.select("query_id", F.transform("expected", lambda e: parent_id(e["source"], e["section"])).alias("expected"), F.array_distinct(F.transform("expected", lambda e: basename(e["source"]))).alias("expected_sources"))
+    rows = want.join(base, "query_id", "left").join(got, "query_id", "left").join(edges, "query_id", "left")
+    part = lambda c: F.coalesce(F.transform("got", lambda x: x[c]), none)
+    return rows.select("query_id", F.coalesce("baseline", none).alias("baseline"), part("parent_id").alias("ranked"), "expected", part("source").alias("returned_sources"), "expected_sources", F.coalesce(F.get("got", F.lit(0))["rerank_source"], F.lit("vector")).alias("rerank_source"), F.coalesce("graph_edges", F.lit(0)).alias("graph_edges"))
+
+
+def run_evaluation(results: DataFrame, seconds_a_query: float = 0.0) -> DataFrame:
+    """(method, metric, value) of ``evaluate_cases``: the baseline's, those of the reranked questions, and their sources' rates."""
+    def tall(df: DataFrame, method: str) -> DataFrame:
+        return df.select(F.explode(F.array(*[F.struct(F.lit(method).alias("method"), F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns])).alias("m")).select("m.*")
+
+    base = tall(baseline_metrics(results.select("query_id", F.col("baseline").alias("ranked"), "expected")), "parent_section_vector_baseline")
+    own = tall(runtime_metrics(results.withColumn("latency", F.lit(float(seconds_a_query)))), "question_rerank")
+    rates = rerank_rates(results).select(F.lit("rerank_source_rate").alias("method"), F.col("rerank_source").alias("metric"), F.col("rate").alias("value"))
+    return base.unionByName(own).unionByName(rates)

@@ -59,7 +59,7 @@ def _described(relations: DataFrame, concepts: DataFrame) -> DataFrame:
     out = relations.select("source", F.col("type").alias("relation"), "target").distinct()
     for end in ("source", "target"):
         out = out.join(concepts.select(F.col("id").alias(end), F.coalesce("description", F.lit("")).alias(f"{end}_desc")), end)
-    return out.select(*CONTEXT).orderBy("source", "relation", "target")
+    return out.select(*CONTEXT)
 
 
 def graph_context(concepts: DataFrame, relations: DataFrame, names: DataFrame, mode: str = "search", source: str = "") -> DataFrame:
@@ -77,7 +77,7 @@ def graph_context(concepts: DataFrame, relations: DataFrame, names: DataFrame, m
             n = n.union(pairs.join(n, pairs["source"] == n["n"], "left_semi").select("target")).distinct()
         out, into = (relations.join(n, relations[e] == n["n"], "left_semi") for e in ("source", "target"))
         picked = out.unionByName(into).dropDuplicates(["source", "type", "target"])
-    return _described(picked.filter(from_source(F.col("source_locators"), source)), concepts)
+    return _described(picked.filter(from_source(F.col("source_locators"), source)), concepts).orderBy("source", "relation", "target")
 
 
 def concept_subgraph(concepts: DataFrame, relations: DataFrame, target: str, max_depth: int = 2) -> DataFrame:

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quirework.functions.providers import Provider
+from quirework.functions.providers import Provider, retrieval_limits
 from quirework.functions.text import bounded_text, known_citations, source_label
 from quirework.operators.graph import graph_context
 
 HITS, PARENTS, FUSED, PREVIEW = 25, 5, 2, 400
+#: Vectors in a block of the search.
+BLOCK = 2048
 CONTEXT_ROWS, CONTEXT_CHARS = 12, 4000
 NO_SOURCE = "No relevant source found."
 NO_CITATION = "The sources found don't support an answer."
@@ -28,20 +35,55 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int = HITS, digits: int | None = None) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, k: int = HITS, digits: int | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, id, score, rank): for each query (query_id, vector, target_file) the k points (id, vector, source) nearest
-    by cosine, of its target file if it has one. Ties by id.
+    by cosine, of its target file if it has one. Ties by id; vectors of zeros have score 0; null vectors are left out.
 
-    Queries are few and go to all executors; each partition of points keeps its own best k before anything is shuffled.
+    Both sides go in blocks of about ``block`` rows, and a task is a pair of blocks: one product of their normalised
+    matrices, of which each query keeps its best k. Nothing is broadcast, however many queries there are.
     """
-    q = queries.select("query_id", F.col("vector").alias("q_vector"), F.coalesce("target_file", F.lit("")).alias("target_file"))
-    near = points.select("id", "vector", "source").join(F.broadcast(q), (q["target_file"] == "") | (q["target_file"] == points["source"]))
-    score = cosine(F.col("vector"), F.col("q_vector"))
-    near = near.select("query_id", "id", (F.round(score, digits) if digits is not None else score).alias("score"))
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    q = queries.select("query_id", vector, F.coalesce("target_file", F.lit("")).alias("target_file")).filter("vector is not null")
+    p = points.select("id", vector, "source").filter("vector is not null")
+    wide, tall = (max(1, -(-df.count() // block)) for df in (q, p))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("qb", part("query_id", wide)).withColumn("pb", every(tall))
+    p = p.withColumn("pb", part("id", tall)).withColumn("qb", every(wide))
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = (unit(t.column("vector")) for t in (left, right))
+        if not len(x) or not len(y):
+            return pa.table({"query_id": left.column("query_id").slice(0, 0), "id": right.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
+        order = pc.rank(right.column("id"), tiebreaker="first").to_numpy()
+        score = x @ y.T
+        if digits is not None:
+            score = np.round(score, digits) + 0.0
+        file, source = (t.column(c).to_numpy(zero_copy_only=False).astype(object) for t, c in ((left, "target_file"), (right, "source")))
+        if (file != "").any():
+            score[(file != "")[:, None] & (file[:, None] != source[None, :])] = -np.inf
+        least = np.partition(score, max(0, len(y) - k), axis=1)[:, max(0, len(y) - k)]
+        i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        best = np.lexsort((order[j], -score[i, j], i))
+        i, j = i[best], j[best]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[nth < k], j[nth < k]
+        return pa.table({"query_id": left.column("query_id").take(pa.array(i)), "id": right.column("id").take(pa.array(j)), "score": pa.array(score[i, j])})
+
+    shape = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", points.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    near = q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInArrow(one, shape)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def unit(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows of length 1, or of zeros."""
+    flat = vectors.combine_chunks()
+    x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm == 0, 1, norm)
+
+
 def collapse(hits: DataFrame, k: int = PARENTS) -> DataFrame:
     """(query_id, parent_id, rank and what else the hit has, place): the first hit of each parent, of the k first parents. Blank parents don't count."""
     own = hits.filter("parent_id is not null and trim(parent_id) <> ''")
@@ -78,25 +120,52 @@ def ranked_scores(scores: DataFrame) -> DataFrame:
     return ok.select("query_id", "parent_id", F.row_number().over(w.orderBy(F.desc("score"), "place")).alias("named"))
 
 
-def retrieve(queries: DataFrame, questions: DataFrame, sections: DataFrame, provider: Provider) -> DataFrame:
+def cascade(query: str, candidates: list[dict], provider: Provider) -> tuple[list[str], str]:
+    """(parents, where their order comes from) for one query. Scores from outside, if the provider has any and all of them are
+    finite, put the candidates in order before the model ranks them; ``llm`` is the model's own order, ``llm_fallback`` one
+    that it gave where outside scores were to be had, ``external`` the outside order where the model names no candidate,
+    and ``vector`` the order of the search where neither does. A provider that fails counts as one without an answer."""
+    known = [c["parent_id"] for c in candidates]
+    outside: list[str] = []
+    scorer = getattr(provider, "external_scores", None)
+    if scorer and candidates:
+        try:
+            scores = [float(x) for x in scorer(query, candidates)]
+            if len(scores) == len(candidates) and all(map(math.isfinite, scores)):
+                candidates = [candidates[i] for i in sorted(range(len(scores)), key=lambda i: (-scores[i], i))]
+                outside = [c["parent_id"] for c in candidates]
+        except Exception:  # whatever a service fails with
+            outside = []
+    try:
+        named = list(dict.fromkeys(p for p in provider.rerank(query, candidates) if p in known)) if candidates else []
+    except Exception:
+        named = []
+    if named:
+        return named, "llm_fallback" if scorer else "llm"
+    return (outside, "external") if outside else (known, "vector")
+
+
+def retrieve(queries: DataFrame, questions: DataFrame, sections: DataFrame, provider: Provider, limits: dict[str, int] | None = None) -> DataFrame:
     """(query_id, place, parent_id, section columns, matched_knowledge, rerank_source): at most ``FUSED`` sections a query.
 
     queries: (query_id, query, vector, target_file); questions: (id, parent_id, question, key_knowledge, source, vector);
     sections: (parent_id, source, section, page_start, page_end, page_content, anchor_nodes). A parent without a section is
-    ranked but not returned.
+    ranked but not returned. limits: ``providers.retrieval_limits``.
     """
-    hits = nearest(queries, questions.select("id", "vector", "source")).join(questions.drop("vector", "source"), "id")
-    cand = collapse(hits).join(sections.select("parent_id", "section", F.left("page_content", F.lit(PREVIEW)).alias("body_preview")), "parent_id", "left")
+    limits = limits or retrieval_limits({})
+    hits = nearest(queries, questions.select("id", "vector", "source"), limits["search_limit"]).join(questions.drop("vector", "source"), "id")
+    cand = collapse(hits, limits["max_candidate_parents"]).join(sections.select("parent_id", "section", F.left("page_content", F.lit(PREVIEW)).alias("body_preview")), "parent_id", "left")
     shape = F.struct("place", "parent_id", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("section", F.lit("")).alias("section_heading"), F.coalesce("body_preview", F.lit("")).alias("body_preview"))
     lists = cand.groupBy("query_id").agg(F.array_sort(F.collect_list(shape)).alias("candidates")).join(queries.select("query_id", "query"), "query_id")
 
-    @F.pandas_udf("array<string>")
-    def rank(query: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([provider.rerank(q, list(c)) for q, c in zip(query, found, strict=True)])
+    @F.pandas_udf("struct<ids:array<string>,source:string>")
+    def rank(query: pd.Series, found: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([cascade(q, list(c), provider) for q, c in zip(query, found, strict=True)], columns=["ids", "source"])
 
     vector = F.transform("candidates", lambda c: c["parent_id"])
     picked = lists.withColumn("reranked", rank("query", "candidates"))
-    picked = picked.select("query_id", fuse(vector, F.col("reranked")).alias("fused"), rerank_source(vector, F.col("reranked"), F.lit("llm")).alias("rerank_source"))
+    ids = F.when(F.col("reranked.source") != "vector", F.col("reranked.ids"))
+    picked = picked.select("query_id", fuse(vector, ids).alias("fused"), F.col("reranked.source").alias("rerank_source"))
     rows = picked.select("query_id", "rerank_source", F.posexplode("fused").alias("place", "parent_id")).withColumn("place", F.col("place") + 1)
     know = cand.select("query_id", "parent_id", F.col("key_knowledge").alias("matched_knowledge"))
     return rows.join(know, ["query_id", "parent_id"]).join(sections, "parent_id")
@@ -166,4 +235,4 @@ def teach(section: DataFrame, roadmap: DataFrame, concepts: DataFrame, relations
     return steps.join(rows, "query_id", "left").select("parent_id", "seq_id", "title", "content_focus", "page_content", "graph_context").orderBy("parent_id", "seq_id")
 
 
-__all__ = ["ask", "bounded_context", "collapse", "contexts", "cosine", "fuse", "graph_context", "nearest", "preordered", "ranked_scores", "rerank_source", "retrieve", "teach"]
+__all__ = ["ask", "bounded_context", "cascade", "collapse", "contexts", "cosine", "fuse", "graph_context", "nearest", "preordered", "ranked_scores", "rerank_source", "retrieve", "teach"]

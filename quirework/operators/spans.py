@@ -8,13 +8,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 MOST = 500
 SPAN = "array<struct<id:string,start:int,end:int,text:string>>"
 STRUCTURE = re.compile(r"\s*(?:```|\||#{1,6}\s|\d+\.\s|[*+-]\s)")
 SENTENCE = re.compile("([.!?]+)([)\\]\"'’”]*)(?=\\s|\\Z)")
 PARAGRAPH = re.compile(r"\n\s*\n")
+BREAK = re.compile(r"\n\s*\n", re.ASCII)
 
 
 def _trim(text: str, a: int, b: int) -> tuple[int, int]:
@@ -84,12 +84,20 @@ def evidence_spans_column(c: Column) -> Column:
     return F.pandas_udf(make, SPAN)(c)
 
 
+def spans_and_windows(text: str | None) -> list[tuple[int, str, int, int, str, bool]]:
+    """(ord, id, start, end, text, is_window): the spans, and two neighbours as one where no paragraph ends between them."""
+    one = evidence_spans(text)
+    both = [(i, f"{x[0]}+{y[0]}", x[1], y[2], text[x[1] : y[2]], True) for i, (x, y) in enumerate(zip(one, one[1:], strict=False)) if not BREAK.search(text, x[2], y[1])]
+    return [(i, *x, False) for i, x in enumerate(one)] + both
+
+
 def with_windows(sections: DataFrame) -> DataFrame:
-    """(parent_id, ord, id, start, end, text, is_window): the spans of (parent_id, page_content), and two neighbours as one
-    where no paragraph ends between them."""
-    one = sections.select("parent_id", "page_content", F.posexplode(evidence_spans_column(F.col("page_content"))).alias("ord", "span")).select("parent_id", "page_content", "ord", "span.*")
-    w = Window.partitionBy("parent_id").orderBy("ord")
-    both = one.withColumn("next", F.lead(F.struct("id", "start", "end")).over(w)).filter("next is not null")
-    gap = F.expr("substring(page_content, end + 1, next.start - end)")
-    both = both.filter(~gap.rlike(r"\n\s*\n")).select("parent_id", "ord", F.concat("id", F.lit("+"), "next.id").alias("id"), "start", F.col("next.end").alias("end"), F.expr("substring(page_content, start + 1, next.end - start)").alias("text"), F.lit(True).alias("is_window"))
-    return one.drop("page_content").withColumn("is_window", F.lit(False)).unionByName(both)
+    """(parent_id, ord, id, start, end, text, is_window): ``spans_and_windows`` of (parent_id, page_content), in one pass over
+    the sections and without a shuffle."""
+    names = ("ord", "id", "start", "end", "text", "is_window")
+
+    def make(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [dict(zip(names, x, strict=True)) for x in spans_and_windows(t)])
+
+    shape = "array<struct<ord:int,id:string,start:int,end:int,text:string,is_window:boolean>>"
+    return sections.select("parent_id", F.explode(F.pandas_udf(make, shape)("page_content")).alias("span")).select("parent_id", "span.*")

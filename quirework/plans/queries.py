@@ -303,12 +303,12 @@ def mermaid(spark: SparkSession, d: str) -> DataFrame:
 def _points(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = t(spark, d, "embeddings")
     pts = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.concat(F.lit("src"), (F.col("vec_id") % 4).cast("string")).alias("source"))
-    return e.filter("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.when(F.col("vec_id") % 5 == 0, "src1").alias("target_file")), pts
+    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.when(F.col("vec_id") % 5 == 0, "src1").alias("target_file")), pts
 
 
 _KNN = """k as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from (
   select q.vec_id as query_id, p.vec_id as id, round(list_cosine_similarity(p.embedding::double[], q.embedding::double[]), 6) as score
-  from embeddings q, embeddings p where q.vec_id < 40 and (q.vec_id % 5 <> 0 or p.vec_id % 4 = 1)))"""
+  from embeddings q, embeddings p where (q.vec_id % 5 <> 0 or p.vec_id % 4 = 1)))"""
 _COLLAPSED = _KNN + """, h as (select query_id, 'p' || (id % 50) as parent, min(rank) as rank from k where rank <= 25 group by all),
 c as (select *, row_number() over (partition by query_id order by rank) as place from h)"""
 
@@ -465,10 +465,10 @@ def point_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ask_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Answers, from documents as sections, to the first lines of the benchmark, with the offline provider."""
+    """Answers, from documents as sections, to all items of the benchmark, with the offline provider."""
     provider = OfflineProvider()
     embed = F.pandas_udf(lambda s: pd.Series(list(provider.embed(s.tolist()))), "array<float>")
     x = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("parent_id"), "source", F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("section"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.col("text").alias("page_content"), F.array(F.concat(F.lit("S"), (F.col("doc_id") % 50).cast("string"))).alias("anchor_nodes"))
     questions = x.select(F.col("parent_id").alias("id"), "parent_id", F.left("page_content", F.lit(120)).alias("question"), F.lit("").alias("key_knowledge"), "source", embed("page_content").alias("vector"))
-    queries = t(spark, d, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), embed("text").alias("vector"), F.lit("").alias("target_file"))
+    queries = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), embed("text").alias("vector"), F.lit("").alias("target_file"))
     return V.ask(queries, questions, x, *_graph(spark, d), provider)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,12 +23,14 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+    """Manifests with the stem of their file's name, by which documents find them."""
+    rows = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+    return rows.withColumn("stem", F.regexp_replace(basename(F.col("_metadata.file_path")), r"(?i)(?:\.manifest)?\.json$", ""))
 
 
 def manifest_problem(m: DataFrame) -> DataFrame:
     """The manifests with ``problem``: the first thing that forbids their use, or null. Chunks have to be done and to cover
-    pages 1 to page_count, one after another."""
+    pages 1 to page_count, one after another; a path, if there is one, has to be of the manifest's own document."""
     c = F.col("chunks")
     chain = F.aggregate(c, F.lit(1), lambda at, x: F.when((at > 0) & (x["start_page"] == at) & (x["end_page"] >= at) & (x["end_page"] <= F.col("page_count")) & (x["page_range"] == F.concat(x["start_page"].cast("string"), F.lit("-"), x["end_page"].cast("string"))), x["end_page"] + 1).otherwise(F.lit(-1)))
     problem = (
@@ -37,6 +41,9 @@ def manifest_problem(m: DataFrame) -> DataFrame:
         .when(F.coalesce(chain, F.lit(-1)) != F.col("page_count") + 1, "doesn't cover the pages")
         .when(F.trim(F.coalesce("source", F.lit(""))) == "", "no source")
     )
+    if "stem" in m.columns:
+        other = F.regexp_replace(basename(F.col("markdown_path")), r"\.[^.]*$", "") != F.col("stem")
+        problem = problem.when(F.coalesce(other, F.lit(False)), "belongs to another document")
     return m.withColumn("problem", problem)
 
 
@@ -66,3 +73,22 @@ def last_of_parent(sections: DataFrame) -> DataFrame:
     """Of sections with one parent_id (equal headings), the one with the last seq_id."""
     w = Window.partitionBy("parent_id").orderBy(F.desc("seq_id"))
     return sections.withColumn("nth", F.row_number().over(w)).filter("nth = 1").drop("nth")
+
+
+def output_paths(target: str, stem: str) -> tuple[str, str]:
+    """Where a converted document and its manifest go: the target, if it is a Markdown file, or the stem in that folder."""
+    base = re.sub(r"(?i)\.(?:md|markdown)$", "", target) if re.search(r"(?i)\.(?:md|markdown)$", target) else f"{target.rstrip('/')}/{stem}"
+    return (target if base != f"{target.rstrip('/')}/{stem}" else f"{base}.md"), f"{base}.manifest.json"
+
+
+def check_source_prefix(prefix: str) -> str:
+    """A prefix for the sources of a run: a letter, then letters, digits and underscores, the last one an underscore."""
+    if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_]*_", prefix):
+        raise ValueError("a source prefix must be letters, digits and underscores, and end with an underscore")
+    return prefix
+
+
+def routed(files: DataFrame) -> DataFrame:
+    """(source, route) of arriving files (source): Markdown is ingested, PDF is extracted first, and others are refused."""
+    suffix = F.lower(F.regexp_extract("source", r"\.([^.]+)$", 1))
+    return files.select("source", F.when(suffix.isin("md", "markdown"), "ingest").when(suffix == "pdf", "extract").otherwise("refuse").alias("route"))

@@ -5,6 +5,8 @@ A commit that fails leaves the old pointer, so the tables change together or not
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,8 @@ def check_dimension(points: DataFrame, dim: int) -> None:
 
 
 class SnapshotStore:
-    """Named tables under a folder that Hadoop can write: ``<folder>/v<n>/<table>``, and the files ``<folder>/current/<n>``."""
+    """Named tables under a folder that Hadoop can write: ``<folder>/v<n>-<writer>/<table>``, and the files
+    ``<folder>/current/<n>``, each of which names the folder of its version. No two writers write to one folder."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -43,17 +46,54 @@ class SnapshotStore:
     def version(self) -> int:
         """The last committed version; 0 before the first."""
         at = self._path(f"{self.folder}/current")
-        return max((int(s.getPath().getName()) for s in self._fs.listStatus(at)), default=0) if self._fs.exists(at) else 0
+        return max((int(s.getPath().getName()) for s in self._fs.listStatus(at) if s.getPath().getName().isdigit()), default=0) if self._fs.exists(at) else 0
+
+    def _folder(self, n: int) -> str:
+        """The folder of a committed version, as its pointer says."""
+        found = self._fs.open(self._path(f"{self.folder}/current/{n}"))
+        try:
+            return found.readUTF()
+        finally:
+            found.close()
 
     def read(self, table: str, schema: str) -> DataFrame:
-        path = f"{self.folder}/v{self.version()}/{table}"
-        return self.spark.read.schema(schema).parquet(path) if self._fs.exists(self._path(path)) else self.spark.createDataFrame([], schema)
+        n = self.version()
+        path = f"{self._folder(n)}/{table}" if n else ""
+        return self.spark.read.schema(schema).parquet(path) if n and self._fs.exists(self._path(path)) else self.spark.createDataFrame([], schema)
 
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Write all tables as the next version and make it current."""
+    def commit(self, tables: dict[str, DataFrame], keep: int = 2) -> int:
+        """Write all tables as the next version and make it current; versions before the last ``keep`` are removed.
+
+        The pointer is created, not replaced: of two writers one succeeds, and the other's files are taken away.
+        """
         n = self.version() + 1
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.folder}/v{n}/{name}")
-        if not self._fs.createNewFile(self._path(f"{self.folder}/current/{n}")):
-            raise RuntimeError("another commit came first")
+        mine = f"{self.folder}/v{n}-{uuid.uuid4().hex}"
+        try:
+            for name, df in tables.items():
+                df.write.parquet(f"{mine}/{name}")
+            draft = self._path(f"{self.folder}/draft/{uuid.uuid4().hex}")
+            out = self._fs.create(draft, False)
+            out.writeUTF(mine)
+            out.close()
+            self._fs.mkdirs(self._path(f"{self.folder}/current"))
+            if not self._rename(draft, self._path(f"{self.folder}/current/{n}")):
+                raise RuntimeError("another commit came first")
+        except BaseException:
+            self._fs.delete(self._path(mine), True)
+            raise
+        for old in range(1, n - keep + 1):
+            at = self._path(f"{self.folder}/current/{old}")
+            if self._fs.exists(at):
+                self._fs.delete(self._path(self._folder(old)), True)
+                self._fs.delete(at, False)
         return n
+
+    def _rename(self, draft: object, to: object) -> bool:
+        """Move a whole pointer to its place, unless there is one; local file systems would replace it."""
+        lock = self._path(to.toString() + ".taken")
+        if self._fs.exists(to) or not self._fs.createNewFile(lock):
+            self._fs.delete(draft, False)
+            return False
+        done = self._fs.rename(draft, to)
+        self._fs.delete(lock, False)
+        return done
