@@ -102,3 +102,18 @@ def test_stages_keep_the_columns_and_what_they_should(spark, folder):
     good = {x[0] for x in folder[1] if x[4]}
     kept = {r["doc_id"] for r in corpus_pipeline.keep_quality(spark, docs, folder[0]).collect()}
     assert good <= kept and not kept & {x[0] for x in folder[1] if not x[4]}
+
+
+def test_stages_with_hard_rows_and_clashing_columns(spark, folder):
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    line = "The cat sat on the mat, and it slept well until the evening came and the rain was over.\n"
+    rows = [(None, line * 3, "en", None, 1), (1, None, None, "s", 2), (2, "", "en", "s", 3), (3, line * 3, "en", "s", 4), (3, line * 3, "en", "s", 4), (4, line * 3000, "en", "s", 5)]
+    extra = [f"1 as {c}" for c in ("key", "id", "near_id", "near_row", "winnow_text", "mix_source", "mix_rate", "copy_no", "shard_key", "size", "rank", "part", "keep", "root")]
+    docs = spark.createDataFrame(rows, shape).selectExpr("*", *extra)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder[0])
+        assert out.columns == docs.columns + (["shard_id", "group_bytes"] if name == "shard" else []), name
+        assert (0 < out.count() <= 6 or name == "mix_sources") and stage(spark, docs.limit(0), folder[0]).count() == 0, name
+    assert corpus_pipeline.keep_one_of_copies(spark, docs, folder[0]).count() == 4  # of 3 one row, and 4 is a copy of it
+    twice = docs.selectExpr(*[c for c in docs.columns if c not in ("part", "root")], "1 shard_id")
+    assert corpus_pipeline.shard(spark, twice, folder[0]).columns.count("shard_id") == 1
