@@ -53,7 +53,7 @@ def paper_vocabulary(sections: DataFrame) -> DataFrame:
 def write_report(spark: SparkSession, rows: DataFrame, path: str, most: int = 100_000) -> None:
     """A report of at most ``most`` rows as one JSON file with an indent of 2, where Hadoop can write; larger results go by
     ``DataFrame.write.json``."""
-    data = [json.loads(r) for r in rows.limit(most + 1).toJSON().collect()]
+    data = [json.loads(r[0]) for r in rows.limit(most + 1).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
     if len(data) > most:
         raise ValueError("too many rows for a report")
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
