@@ -91,11 +91,15 @@ class Kernel:
 
 def training(docs: DataFrame, most: int) -> tuple[list[str], list[str]]:
     """Texts and languages of at most ``most`` labelled documents: the lowest hashes of texts, whatever their order."""
-    h = docs.filter("lang is not null and text is not null").select(F.xxhash64("text").alias("h"))
-    # each partition passes on its lowest hashes only; repeated texts may leave fewer different ones than wanted
-    low = [r["h"] for r in h.orderBy("h").limit(4 * most).collect()]
-    low = sorted(set(low)) if len(low) < 4 * most or len(set(low)) >= most else [r["h"] for r in h.distinct().orderBy("h").limit(most).collect()]
-    top = low[:most][-1] if low else None
+    own = docs.filter("lang is not null and text is not null")
+    h = own.select(F.xxhash64("text").alias("h"))
+    # so low that about 8 times as many rows pass: few are shuffled, unless most texts are repeated ones
+    share = min(1.0, 8 * most / max(1, own.count()))
+    low: list[int] = []
+    for cut in (share, 1.0):
+        if len(low) < most:
+            low = [r["h"] for r in h.filter(F.col("h") <= min(2**63 - 1, int(cut * 2**64) - 2**63)).distinct().orderBy("h").limit(most).collect()]
+    top = low[-1] if low else None
     if top is None:
         return [], []
     d = docs.filter((F.xxhash64("text") <= F.lit(top)) & F.col("lang").isNotNull()).select(letters(F.col("text")).alias("text"), F.col("lang").cast("string").alias("lang")).filter("text <> ''").distinct()
