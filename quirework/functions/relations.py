@@ -122,20 +122,22 @@ def _states(x: Column) -> Column:
 
 
 def _named(priority: int, relation: str) -> Callable[[Column], Column]:
-    return lambda p: F.struct(F.lit(priority).alias("priority"), F.lit(relation).alias("relation"), strip(p["s"]).alias("source"), strip(p["t"]).alias("target"))
+    return lambda p: F.struct(F.lit(priority).alias("priority"), F.lit(relation).alias("relation"), strip(F.substring_index(p, "\2", 1)).alias("source"), strip(F.substring_index(p, "\2", -1)).alias("target"))
 
 
 def local_pairs(text: Column) -> Column:
     """All (priority, relation, source, target) that the wordings, filled with noun phrases, find in a text.
 
-    A wording is tried only on texts that have one of its relation's trigger words.
+    A wording is tried only on texts that have one of its relation's trigger words, and its own landmark. Its pattern is
+    slow, so it goes over a text once and puts signs, which no noun phrase has, about what it finds.
     """
     none = F.array().cast("array<struct<priority:int,relation:string,source:string,target:string>>")
+    plain = F.translate(text, "\1\2\3", "\4\4\4")
     by_relation: dict[str, list[Column]] = {}
     for i, (relation, wording) in enumerate(vocab.WORDINGS):
-        pattern = F.lit("(?iu)" + vocab.fill(wording, vocab.NOUN, vocab.NOUN, long_source=vocab.LONG_NOUN))
+        pattern = "(?iu)" + vocab.fill(wording, vocab.NOUN, vocab.NOUN, long_source=vocab.LONG_NOUN)
         s, t = (1, 2) if vocab.source_first(wording) else (2, 1)
-        pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(s)).alias("s"), F.regexp_extract_all(text, pattern, F.lit(t)).alias("t"))
-        by_relation.setdefault(relation, []).append(F.transform(pairs, _named(i, relation)))
+        pairs = F.regexp_extract_all(F.regexp_replace(plain, pattern, f"\1${s}\2${t}\3"), F.lit("\1([^\1\3]*\2[^\1\3]*)\3"), F.lit(1))
+        by_relation.setdefault(relation, []).append(F.when(text.rlike("(?iu)" + vocab.landmark(wording)), F.transform(pairs, _named(i, relation))).otherwise(none))
     found = [F.when(text.rlike(rf"(?i)\b(?:{vocab.TRIGGERS[r]})"), F.concat(*columns)).otherwise(none) for r, columns in by_relation.items()]
     return F.when(text.rlike(r"(?i)\b(?:" + "|".join(vocab.TRIGGERS.values()) + ")"), F.concat(*found)).otherwise(none)
