@@ -59,12 +59,15 @@ def union_candidates(local: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def judge(candidates: DataFrame, approvals: DataFrame, spans: DataFrame, sections: DataFrame) -> DataFrame:
-    """Each approval (parent_id, idx) with its candidate and the first ``reason`` that speaks against it, null if none does."""
+    """Each approval (parent_id, idx) with its candidate and the first ``reason`` that speaks against it, null if none does.
+
+    Joins are by sorting: what texts are made of may be far smaller than they are, and Spark would broadcast them by that.
+    """
     times = Window.partitionBy("parent_id", "idx")
     a = approvals.select("parent_id", "idx", "seq").withColumn("times", F.count("*").over(times))
     c = candidates.withColumn("known", F.lit(True))
     last = spans.groupBy("parent_id", F.col("id").alias("evidence_id")).agg(F.max_by(F.struct("start", "end", "text"), F.col("ord")).alias("span"))
-    rows = a.join(c, ["parent_id", "idx"], "left").join(last, ["parent_id", "evidence_id"], "left").join(sections.select("parent_id", "page_content"), "parent_id", "left")
+    rows = a.join(c.hint("merge"), ["parent_id", "idx"], "left").join(last.hint("merge"), ["parent_id", "evidence_id"], "left").join(sections.select("parent_id", "page_content").hint("merge"), "parent_id", "left")
     s, t = F.col("source"), F.col("target")
     rel, text = normalize_relation(F.col("relation")), F.col("span.text")
     whole, part = normalized_phrase(F.col("page_content")), normalized_phrase(text)
