@@ -6,7 +6,6 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quirework.functions.text import normalized_phrase
 
@@ -43,11 +42,13 @@ def source_report(sections: DataFrame, counted: DataFrame) -> DataFrame:
 def paper_vocabulary(sections: DataFrame) -> DataFrame:
     """(parent_id, source, seq_id, known): the names (anchor_nodes) accepted in earlier sections of the same paper, the first
     of those with one normalised form."""
-    before = Window.partitionBy("source").orderBy("seq_id").rowsBetween(Window.unboundedPreceding, -1)
-    names = sections.select("parent_id", "source", "seq_id", F.filter(F.flatten(F.collect_list("anchor_nodes").over(before)), lambda n: normalized_phrase(n) != "").alias("names"))
-    keys = F.transform("names", normalized_phrase)
-    # keys are worked out once a section, not once a name
-    return names.withColumn("keys", keys).select("parent_id", "source", "seq_id", F.filter("names", lambda n, i: F.array_position(F.col("keys"), F.get(F.col("keys"), i)) == i + 1).alias("known"))
+    each = sections.select("source", "seq_id", F.posexplode("anchor_nodes").alias("nth", "name")).withColumn("key", normalized_phrase(F.col("name"))).filter("key <> ''")
+    first = each.groupBy("source", "key").agg(F.min(F.struct("seq_id", "nth", "name")).alias("x"))
+    # in order of their first section: as long as the paper's vocabulary, however many sections repeat it
+    names = first.groupBy(F.col("source").alias("of")).agg(F.array_sort(F.collect_list("x")).alias("names"))
+    earlier = lambda n: F.coalesce(n["seq_id"] < F.col("seq_id"), n["seq_id"].isNull() & F.col("seq_id").isNotNull())
+    known = F.transform(F.filter("names", earlier), lambda n: n["name"])
+    return sections.join(names.hint("merge"), F.col("source").eqNullSafe(F.col("of")), "left").select("parent_id", "source", "seq_id", F.coalesce(known, F.array().cast("array<string>")).alias("known"))
 
 
 def write_report(spark: SparkSession, rows: DataFrame, path: str, most: int = 100_000) -> None:

@@ -4,6 +4,8 @@ import re
 
 from quirework.functions import vocab
 from quirework.operators import compile as C
+from quirework.operators import reports as P
+from quirework.plans import more
 from quirework.plans import queries as Q
 
 SECTION = "parent_id string, source string, section string, seq_id int, page_content string"
@@ -40,3 +42,27 @@ def test_signs_in_a_text_are_no_pairs(spark):
 def test_a_small_file_is_spread(spark, tmp_path):
     spark.range(50).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert Q._sentences(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_vocabulary_of_many_sections_in_little_work(spark):
+    """30,000 sections of one paper, all of the same two names: a list of all names before each would have 9 * 10^8."""
+    s = spark.range(30_000).selectExpr("cast(id as string) as parent_id", "'a' as source", "cast(id as int) as seq_id", "array(concat('Net ', id % 2), '?') as anchor_nodes")
+    s = s.unionByName(spark.createDataFrame([("x", None, None, ["B", "b"]), ("y", None, 1, ["C"])], "parent_id string, source string, seq_id int, anchor_nodes array<string>"))
+    got = {r["parent_id"]: r["known"] for r in P.paper_vocabulary(s).filter("parent_id in ('0', '1', '29999', 'x', 'y')").collect()}
+    assert got == {"0": [], "1": ["Net 0"], "29999": ["Net 0", "Net 1"], "x": [], "y": ["B"]}
+    assert P.paper_vocabulary(s).selectExpr("sum(size(known))").first()[0] == 1 + 2 * 29_998 + 1
+
+
+def test_triples_of_one_place_have_an_order(spark):
+    shape = "parent_id string, idx int, source string, relation string, target string, evidence_id string"
+    data = [("p", 0, s, "USES", t, "e0") for s in "dbca" for t in "zx"]
+    for rows in (data, data[::-1], data[3:] + data[:3]):
+        got = C.union_candidates(spark.createDataFrame(rows, shape), spark.createDataFrame([], shape)).orderBy("idx").collect()
+        assert [(r["source"], r["target"]) for r in got] == sorted((r[2], r[4]) for r in data)
+
+
+def test_exact_sections_of_the_whole_table(spark, tmp_path):
+    x = spark.range(6000).selectExpr("id as p_partkey", "'n' as p_name", "'t' as p_type")
+    x.write.parquet(f"{tmp_path}/part.parquet")
+    got = more.exact_sections(spark, str(tmp_path))
+    assert got.count() == 1200 and got.filter("parent_id > 4000").count() == 400
