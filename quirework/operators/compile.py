@@ -44,7 +44,8 @@ def union_candidates(local: DataFrame, model: DataFrame) -> DataFrame:
     """(parent_id, idx, source, relation, target, evidence_id, is_local): one row for each triple, at most ``CAP`` of a section.
 
     Of rows with one normalised triple, that with the best evidence stays (local before model, single span before
-    window; of equals the first), at the place where the triple was first seen.
+    window; of equals the first), at the place where the triple was first seen. Triples of one place are in the order of
+    their normalised names and relations.
     """
     cols = ["parent_id", "idx", "source", "relation", "target", "evidence_id"]
     both = local.select(*cols, F.lit(True).alias("is_local")).unionByName(model.select(*cols, F.lit(False).alias("is_local")))
@@ -52,9 +53,10 @@ def union_candidates(local: DataFrame, model: DataFrame) -> DataFrame:
     both = both.filter("source <> '' and target <> '' and relation <> ''").withColumn("seen", F.struct(~F.col("is_local"), F.col("idx")))
     single = (~is_window_id(F.col("evidence_id"))).cast("int")
     pref = F.when(F.col("is_local"), 2 + single).otherwise(single)
-    w = Window.partitionBy("parent_id", normalized_phrase(F.col("source")), "relation", normalized_phrase(F.col("target")))
-    best = both.withColumn("place", F.min("seen").over(w)).withColumn("nth", F.row_number().over(w.orderBy(F.desc(pref), "seen"))).filter("nth = 1")
-    order = Window.partitionBy("parent_id").orderBy("place")
+    s, t = normalized_phrase(F.col("source")), normalized_phrase(F.col("target"))
+    w = Window.partitionBy("parent_id", s, "relation", t)
+    best = both.withColumn("place", F.min("seen").over(w)).withColumn("nth", F.row_number().over(w.orderBy(F.desc(pref), "seen", "evidence_id", "source", "target"))).filter("nth = 1")
+    order = Window.partitionBy("parent_id").orderBy("place", s, "relation", t)
     return best.withColumn("idx", F.row_number().over(order) - 1).filter(F.col("idx") < CAP).select(*cols, "is_local")
 
 
