@@ -81,12 +81,14 @@ def section_of(curriculum: DataFrame, parent_id: str) -> DataFrame:
     return curriculum.filter((F.col("type") == "section_anchor") & (F.col("parent_id") == parent_id)).limit(1)
 
 
-def exact_sections(curriculum: DataFrame, source: str = "", section: str = "", most: int = SCAN_ROWS) -> DataFrame:
-    """Anchors of a source, if one is named, and of a section, if one is named, in order of seq_id, then id."""
+def exact_sections(curriculum: DataFrame, source: str = "", section: str = "", most: int | None = SCAN_ROWS) -> DataFrame:
+    """Anchors of a source, if one is named, and of a section, if one is named, in order of seq_id, then id: the first ``most``,
+    or all."""
     out = curriculum.filter("type = 'section_anchor'")
     for column, value in (("source", source), ("section", section)):
         out = out.filter(F.col(column) == value) if value else out
-    return out.orderBy(F.coalesce("seq_id", F.lit(0)), "id").limit(most)
+    out = out.orderBy(F.coalesce("seq_id", F.lit(0)), "id")
+    return out if most is None else out.limit(most)
 
 
 def roadmap(curriculum: DataFrame, parent_id: str) -> DataFrame:
