@@ -2,9 +2,13 @@
 
 import re
 
+import numpy as np
+import pytest
+
 from quirework.functions import vocab
 from quirework.operators import compile as C
 from quirework.operators import reports as P
+from quirework.operators import retrieval as V
 from quirework.plans import more
 from quirework.plans import queries as Q
 
@@ -66,3 +70,37 @@ def test_exact_sections_of_the_whole_table(spark, tmp_path):
     x.write.parquet(f"{tmp_path}/part.parquet")
     got = more.exact_sections(spark, str(tmp_path))
     assert got.count() == 1200 and got.filter("parent_id > 4000").count() == 400
+
+
+def brute(queries, points, k, digits):
+    out = []
+    for i, v, f in queries:
+        found = []
+        for j, w, s in points:
+            if v is not None and w is not None and f in (None, "", s):
+                n = float(np.linalg.norm(v) * np.linalg.norm(w))
+                found.append((-round(float(np.dot(v, w)) / n, digits) + 0.0 if n else 0.0, j))
+        out += [(i, j, -s, nth + 1) for nth, (s, j) in enumerate(sorted(found)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n, m, block", [(40, 300, 1 << 14), (300, 90, 16), (300, 5000, 1 << 14), (3, 4, 2), (5, 0, 9)])
+def test_nearest_against_all_pairs(spark, n, m, block):
+    rng = np.random.default_rng(n)
+    vectors = rng.integers(-3, 4, (max(n, m), 5))  # many ties, some zeros
+    points = [(f"p{j}", None if j == 7 else [float(x) for x in vectors[j]], f"s{j % 3}") for j in range(m)]
+    queries = [(i, None if i == 2 else [float(x) for x in vectors[i]], (None, "", "s1", "none")[i % 4]) for i in range(n)]
+    q = spark.createDataFrame(queries, "query_id long, vector array<float>, target_file string")
+    p = spark.createDataFrame(points, "id string, vector array<float>, source string")
+    got = sorted((r["query_id"], r["id"], r["score"], r["rank"]) for r in V.nearest(q, p, 4, 6, block).collect())
+    want = brute(queries, points, 4, 6)
+    assert [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-9)
+
+
+def test_nearest_sends_points_once_a_block(spark):
+    e = spark.range(5000).selectExpr("id as vec_id", "transform(sequence(1, 8), i -> cast(sin(id * i) as float)) as v")
+    near = V.nearest(e.selectExpr("vec_id as query_id", "v as vector", "'' as target_file"), e.selectExpr("vec_id as id", "v as vector", "'' as source"), 3)
+    plan = plan_of(near)
+    assert "CoGroup" not in plan and plan.count("Exchange ") == 1 and "Window" not in plan
+    assert near.count() == 15_000
