@@ -18,7 +18,7 @@ from quirework.operators import graph as G
 from quirework.operators import reports as P
 from quirework.operators import retrieval as V
 from quirework.operators import sections as S
-from quirework.plans.queries import _CON, _REL, _graph, query, t
+from quirework.plans.queries import _CON, _REL, _graph, query, spread, t
 from quirework.sources import documents as D
 from quirework.sources import records as R
 from quirework.sources.documents import last_of_parent
@@ -376,7 +376,7 @@ def _papers(spark: SparkSession, d: str) -> DataFrame:
     long = F.repeat(F.concat("p_name", F.lit(" and so on.\n")), 20)
     end = F.when(k % 2 == 0, F.concat(F.lit("# A Appendix\n"), long)).otherwise("")
     text = F.concat(F.lit("# "), "p_name", F.lit("\nwho wrote it\n# Abstract\n"), long, F.lit("# 1 Method\n"), long, F.lit("## About that\n"), long, F.lit("# References\n[1] one\n"), end)
-    return t(spark, d, "part").select(s(k).alias("source"), text.alias("content"), F.lit("a.pdf").alias("origin_source"), F.array(F.lit("1-9")).alias("page_ranges"))
+    return spread(t(spark, d, "part").select("p_partkey", "p_name")).select(s(k).alias("source"), text.alias("content"), F.lit("a.pdf").alias("origin_source"), F.array(F.lit("1-9")).alias("page_ranges"))
 
 
 _LONG = "trim(repeat(p_name || ' and so on.' || chr(10), 20), chr(10))"

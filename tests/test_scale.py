@@ -9,6 +9,7 @@ from quirework.functions import vocab
 from quirework.operators import compile as C
 from quirework.operators import reports as P
 from quirework.operators import retrieval as V
+from quirework.operators import sections as S
 from quirework.plans import more
 from quirework.plans import queries as Q
 
@@ -104,3 +105,15 @@ def test_nearest_sends_points_once_a_block(spark):
     plan = plan_of(near)
     assert "CoGroup" not in plan and plan.count("Exchange ") == 1 and "Window" not in plan
     assert near.count() == 15_000
+
+
+def test_papers_are_split_within_their_rows(spark):
+    long = "# 1 Method\n" + "A line of the method, which is long enough not to be a stub when there are some of it.\n" * 4
+    heads = "".join(f"# 1.{i} Part\nshort\n" for i in range(1, 4001))
+    docs = spark.createDataFrame([("a", f"# T\nwho\n# Abstract\n{long}# References\n[1] x\n", "o", ["1"]), ("b", heads, "o", ["1"]), ("c", None, "o", ["1"]), ("d", "no heading", "o", ["1"])], "source string, content string, origin_source string, page_ranges array<string>")
+    sections, report = S.split_converted(docs)
+    assert "Exchange" not in plan_of(sections) and "Exchange" not in plan_of(report) and "Exchange" not in plan_of(S.split_markdown(docs))
+    got = [(r["source"], r["section"], r["seq_id"], len(r["page_content"])) for r in sections.orderBy("source").collect()]
+    assert got[0][:3] == ("a", "1 Method", 0) and got[1] == ("b", "1.4000 Part", 0, len(heads) - 2 * 4000 - 1 - len("1.4000 Part\n"))
+    assert sorted(map(tuple, report.collect())) == [("a", True), ("b", False)] and len(got) == 2
+    assert "Broadcast" not in plan_of(S.parse_report(sections, report))
