@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quirework.functions import vocab
@@ -10,6 +11,7 @@ from quirework.operators import compile as C
 from quirework.operators import reports as P
 from quirework.operators import retrieval as V
 from quirework.operators import sections as S
+from quirework.operators import spans as P2
 from quirework.plans import more
 from quirework.plans import queries as Q
 
@@ -117,3 +119,16 @@ def test_papers_are_split_within_their_rows(spark):
     assert got[0][:3] == ("a", "1 Method", 0) and got[1] == ("b", "1.4000 Part", 0, len(heads) - 2 * 4000 - 1 - len("1.4000 Part\n"))
     assert sorted(map(tuple, report.collect())) == [("a", True), ("b", False)] and len(got) == 2
     assert "Broadcast" not in plan_of(S.parse_report(sections, report))
+
+
+def test_spans_come_in_small_batches(spark):
+    """A batch of sections with 8,400,000 characters, which come twice more in windows, goes in parts of a million or so."""
+    text = "It works. So does that, as was seen. " * 500
+    rows = [(str(i), None if i == 7 else text) for i in range(450)]
+    parts = list(P2.span_batches([pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], ["parent_id", "page_content"])]))
+    assert len(parts) > 6 and max(b.column("text").nbytes for b in parts) < 6_000_000
+    assert sum(b.num_rows for b in parts) == 449 * 1999
+    got = P2.with_windows(spark.createDataFrame(rows[5:9], "parent_id string, page_content string"))
+    assert got.groupBy("parent_id").count().count() == 3 and got.filter("is_window").count() == 3 * 999
+    assert got.filter("parent_id = '8' and id = 'e1'").select("ord", "start", "end", "text", "is_window").first()[:] == (1, 10, 36, "So does that, as was seen.", False)
+    assert "ArrowEvalPython" not in plan_of(got)
