@@ -5,6 +5,7 @@ A commit that fails leaves the old pointer, so the tables change together or not
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,18 @@ def stale(stored: DataFrame, sections: DataFrame) -> DataFrame:
     return mine.join(kept, F.col("parent_id") == F.col("now_parent"), "left_anti")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, made at once and kept in the folder of ``spark.checkpoint.dir``, which executors share; a session of one machine
+    may have a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quirework-"))
+    return df.checkpoint()
+
+
 def check_dimension(points: DataFrame, dim: int) -> None:
     """Raise if any vector has another length."""
     if points.filter(F.size("vector") != dim).limit(1).count():

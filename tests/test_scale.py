@@ -1,12 +1,14 @@
 """What must not grow faster than its input: plans, parts and memory; and the results that it must leave as they are."""
 
 import re
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from quirework.functions import vocab
+from quirework.functions.providers import OfflineProvider
 from quirework.operators import compile as C
 from quirework.operators import reports as P
 from quirework.operators import retrieval as V
@@ -132,3 +134,26 @@ def test_spans_come_in_small_batches(spark):
     assert got.groupBy("parent_id").count().count() == 3 and got.filter("is_window").count() == 3 * 999
     assert got.filter("parent_id = '8' and id = 'e1'").select("ord", "start", "end", "text", "is_window").first()[:] == (1, 10, 36, "So does that, as was seen.", False)
     assert "ArrowEvalPython" not in plan_of(got)
+
+
+def test_vectors_are_made_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(x):
+        calls.add(len(x))
+        return x.map(lambda t: [float(t), 1.0] if t % 3 else None)
+
+    f = Q.F.pandas_udf(embed, "array<float>")
+    points = spark.range(30).select("id", f("id").alias("vector"), Q.F.lit("").alias("source"))
+    queries = spark.range(1).selectExpr("id as query_id", "array(1f, 1f) as vector", "'' as target_file")
+    assert V.nearest(queries, points, 50).count() == 20 and calls.value == 30
+
+
+def test_embeddings_are_the_counts_of_hashed_words():
+    texts = ["One word, one WORD and ein Wort", "", None, "word " * 300]
+    want = np.zeros((4, 7))
+    for i, t in enumerate(texts):
+        for w in (t or "").lower().replace(",", "").split():
+            want[i, crc32(w.encode()) % 7] += 1 if crc32(w.encode()) >> 31 else -1
+    n = np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(OfflineProvider(7).embed(texts), want / np.where(n == 0, 1, n), atol=1e-6)
