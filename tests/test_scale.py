@@ -157,3 +157,11 @@ def test_embeddings_are_the_counts_of_hashed_words():
             want[i, crc32(w.encode()) % 7] += 1 if crc32(w.encode()) >> 31 else -1
     n = np.linalg.norm(want, axis=1, keepdims=True)
     assert np.allclose(OfflineProvider(7).embed(texts), want / np.where(n == 0, 1, n), atol=1e-6)
+
+
+def test_contexts_are_bounded_before_they_are_sent(spark):
+    rows = spark.range(3000).selectExpr("id % 2 as query_id", "concat('s', lpad(id, 4, '0')) as source", "'' as source_desc", "'USES' as relation", "'t' as target", "repeat('x', 200 + int(id)) as target_desc")
+    out = V.bounded_context(rows)
+    assert "WindowGroupLimit" in plan_of(out)
+    got = [tuple(r) for r in out.orderBy("query_id", "ord").select("query_id", "source", "ord").collect()]
+    assert got == [(q, f"s{2 * i + q:04}", i + 1) for q in (0, 1) for i in range(12)]
